@@ -70,7 +70,7 @@ def with_locator(docs: DataFrame, space: Workspace, file: str = "__file", row: s
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters other than ASCII white space; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Quality rules: plain text measures, then a hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Method. Lower-cased words and word pairs are hashed into a fixed number of buckets. Two multinomials over the buckets are
+Method. Words and pairs of neighbouring words are hashed into a fixed number of buckets. Two multinomials over the buckets are
 counted: one over all documents (raw), one over a trusted target. A document's score is the mean over its n-grams of
 ``log(p_target(bucket) / p_raw(bucket))``, that is the log-likelihood ratio normalised by length. A document is kept if
 its score is at least the threshold. Weights are fixed-point integers, so that a score doesn't depend on the order of
 additions and the verdict is the same on every run.
 
 Scale. Counting is one explode with map-side partial aggregation into at most ``buckets`` rows: what is shuffled doesn't
-grow with the corpus. The weights come back as one array of ``buckets`` integers through an uncorrelated scalar subquery;
-scoring is then a narrow projection. The target is at most ``target_rows`` documents (lowest hashes of their ids), so
-the join that marks them has a proven broadcast bound.
+grow with the corpus. The weights come back as one array of ``buckets`` integers through an uncorrelated scalar subquery.
+Scoring explodes words again and sums by row: rows of a document are in one task, so partial aggregation leaves one row a
+document to shuffle. Exploding rather than folding arrays in place keeps hashing and look-ups in generated code. The
+target is at most ``target_rows`` documents (lowest hashes of their ids), so the join that marks them has a proven
+broadcast bound.
 
 Defined results. Null text counts as empty: no words, base_failed true. A document without n-grams scores 0. Without any
 target document all weights are 0 and only the base rules decide. Repeated rows are measured one by one and count as
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import Workspace, broadcast_if_small, with_locator, words
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
@@ -31,58 +33,65 @@ SMOOTHING = 0.5
 UNIT = 10_000
 THRESHOLD = -0.25
 MIN_WORDS = 50
+#: Up to so many repeated window hashes of a document are looked up one by one.
+FEW = 32
 
-_P = "__qr_"
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _covered(ws: Column) -> Column:
-    """Words inside 3-word windows that occur at least twice, first occurrences included.
+def _repeat_words(df: DataFrame) -> DataFrame:
+    """df (with column ``ws``) plus n_repeat_words: words inside 3-word windows that occur at least twice.
 
-    Windows are sorted with their positions, so equal ones are neighbours; the repeated windows' positions, in order,
-    each cover 3 words less the overlap with the next.
+    Windows whose hash is unique in the document are done with. The others, sorted as text with their positions, have equal
+    ones as neighbours; the repeated windows' positions, in order, each cover 3 words less the overlap with the next.
     """
-    starts = F.sequence(F.lit(0), F.size(ws) - 3)
+    ws = F.col("ws")
+    hashes = F.transform(F.slice(ws, 3, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), w))
+    df = df.withColumn("h", hashes)
+    some = F.size(F.array_distinct("h")) < F.size("h")
+    df = df.withColumn("ordered", F.when(some, F.sort_array("h")))
+    ordered = F.col("ordered")
+    df = df.withColumn("twice", F.array_distinct(F.filter(ordered, lambda x, k: F.coalesce(F.get(ordered, k - 1) == x, F.lit(False)))))
+
+    def neighbours(o: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(o, k)["v"] == x["v"], F.lit(False))
+        return F.transform(F.filter(o, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
+
+    # A few repeated hashes are looked up one by one, many by sorting.
+    few = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains("twice", F.get(F.col("h"), i)))
+    df = df.withColumn("by_hash", F.when(some & (F.size("twice") > FEW), F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("v"), i.alias("i"))))))
+    df = df.withColumn("found", F.when(some & (F.size("twice") <= FEW), few).when(some, neighbours(F.col("by_hash"))))
     window = lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
-    ordered = F.array_sort(F.transform(starts, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
-
-    def repeated(o: Column) -> Column:
-        same = lambda x, k: F.coalesce(F.get(o, k)["w"] == x["w"], F.lit(False))
-        return F.array_sort(F.transform(F.filter(o, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
-
-    def total(p: Column) -> Column:
-        return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-
-    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  binds a value once
-    return F.when(F.size(ws) < 3, F.lit(0)).otherwise(
-        once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(once(ordered, lambda o: once(repeated(o), total))))
-    )
-
-
-def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.withColumn(f"{_P}text", text).withColumn(f"{_P}words", words(F.col(f"{_P}text")))
+    df = df.withColumn("by_text", F.sort_array(F.transform("found", lambda i: F.struct(window(i).alias("v"), i.alias("i")))))
+    df = df.withColumn("at", F.sort_array(neighbours(F.col("by_text"))))
+    at = F.col("at")
+    covered = F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("h", "ordered", "twice", "by_hash", "found", "by_text", "at")
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """docs has columns ``text`` and whatever is carried; adds ``ws`` and the base measures."""
+    df = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    df = df.withColumn("ws", words(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumns({
+        "n_words": F.size("ws").cast("long"),
+        "word_chars": F.length(F.array_join("ws", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+    })
+    return _repeat_words(df).drop("lines", "text")
 
 
-def _base(df: DataFrame) -> DataFrame:
-    text, ws = F.col(f"{_P}text"), F.col(f"{_P}words")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.withColumn(f"{_P}lines", lines).withColumns({
-        f"{_P}n_words": F.size(ws).cast("long"),
-        f"{_P}word_chars": F.length(F.array_join(ws, "")).cast("long"),
-        f"{_P}n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-        f"{_P}n_dup_lines": (F.size(f"{_P}lines") - F.size(F.array_distinct(f"{_P}lines"))).cast("long"),
-        f"{_P}n_repeat_words": _covered(ws).cast("long"),
-    })
-    n, r = F.col(f"{_P}n_words"), F.col(f"{_P}n_repeat_words")
-    return out.withColumn(f"{_P}base_failed", (n < MIN_WORDS) | (r * 100 > n * 50))
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def _buckets(ws: Column, buckets: int) -> Column:
-    """Bucket numbers of all words and all neighbouring word pairs of an array of lower-cased words."""
-    number = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    pairs = F.transform(F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: number(F.xxhash64(F.get(ws, i), w)))
-    return F.concat(F.transform(ws, lambda w: number(F.xxhash64(w))), pairs)
+def _grams(df: DataFrame, keep: list[str], buckets: int, outer: bool) -> DataFrame:
+    """A row for each word of ``ws``: ``one``, its bucket, and ``two``, that of it and the next word (null for the last)."""
+    pairs = F.arrays_zip(F.col("ws"), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))).alias("following"))
+    rows = df.select(*keep, (F.explode_outer if outer else F.explode)(pairs).alias("g")).select(*keep, F.col("g.ws").alias("a"), F.col("g.following").alias("b"))
+    number = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
+    return rows.select(*keep, F.when(F.col("a").isNotNull(), number("a")).alias("one"), F.when(F.col("b").isNotNull(), number("a", "b")).alias("two"))
 
 
 def weights(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -91,16 +100,13 @@ def weights(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text
     ``target_ids`` has a column of the same name as ``id_col`` and a bounded number of rows (see ``trusted``).
     """
     spark = docs.sparkSession
-    marked = target_ids.select(F.col(id_col).alias("__t_id"), F.lit(1).alias("__t")).dropDuplicates()
-    ws = words(F.lower(F.col(f"`{text_col}`").cast("string")))
-    grams = (
-        docs.select(F.col(f"`{id_col}`").alias("__id"), ws.alias("__w"))
-        .join(F.broadcast(marked), F.col("__id") == F.col("__t_id"), "left")
-        .select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(_buckets(F.col("__w"), buckets)).alias("b"))
-    )
+    marked = target_ids.select(F.col(id_col).alias("t_id"), F.lit(1).alias("t")).dropDuplicates()
+    read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    df = read.join(F.broadcast(marked), F.col("id") == F.col("t_id"), "left").select(F.coalesce("t", F.lit(0)).alias("t"), words(F.col("text")).alias("ws"))
+    grams = _grams(df, ["t"], buckets, outer=False).select("t", F.explode(F.array("one", "two")).alias("b")).filter("b is not null")
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     full = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    one = full.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("c"))
+    one = full.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"))
     flat = SMOOTHING * buckets
     ratio = lambda c: F.log((c["target"] + SMOOTHING) / (F.col("n_target") + flat)) - F.log((c["raw"] + SMOOTHING) / (F.col("n_raw") + flat))
     value = lambda c: F.when(F.col("n_target") == 0, F.lit(0)).otherwise(F.round(ratio(c) * UNIT).cast("int"))
@@ -113,41 +119,43 @@ def trusted(labels: DataFrame, rows: int = TARGET_ROWS, id_col: str = "doc_id")
     return good.orderBy(F.xxhash64(id_col), id_col).limit(rows)
 
 
-def judge(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with all its columns, plus ``__qr_*`` columns: the base measures, ``__qr_score`` and ``__qr_kept``."""
+def judge(docs: DataFrame, target_ids: DataFrame, keys: list[str], id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of docs: the columns named in keys (which together name a row), the base measures, base_failed, llr, kept."""
     w = weights(docs, target_ids, id_col, text_col, buckets).scalar()
-    df = _base(_with_words(docs, text_col))
-    lower = words(F.lower(F.col(f"{_P}text")))
-    df = df.withColumn(f"{_P}w", w).withColumn(f"{_P}lower", lower).withColumn(f"{_P}grams", _buckets(F.col(f"{_P}lower"), buckets))
-    total = F.aggregate(F.col(f"{_P}grams"), F.lit(0).cast("long"), lambda a, b: a + F.get(F.col(f"{_P}w"), b))
-    n = F.size(f"{_P}grams")
-    df = df.withColumn(f"{_P}total", total)
+    based = _base(docs.select(*keys, F.col(f"`{text_col}`").alias("text")))
+    carried = [*keys, *_BASE]
+    weight = lambda c: F.coalesce(F.get(w, F.col(c)), F.lit(0)).cast("long")
+    rows = _grams(based, carried, buckets, outer=True).select(*carried, (weight("one") + weight("two")).alias("s"), F.col("one").isNotNull().cast("long").alias("n1"), F.col("two").isNotNull().cast("long").alias("n2"))
+    # A measure is the same on all rows of a document.
+    one = rows.groupBy(*keys).agg(F.sum("s").alias("total"), F.sum(F.col("n1") + F.col("n2")).alias("n"), *[F.max(c).alias(c) for c in _BASE])
     # Compared as integers; the score itself is for reading.
-    passes = F.col(f"{_P}total") >= F.floor(n * F.lit(threshold * UNIT))
-    return df.withColumn(f"{_P}score", F.when(n > 0, F.col(f"{_P}total") / (n * UNIT)).otherwise(0.0)).withColumn(f"{_P}kept", ~F.col(f"{_P}base_failed") & passes)
+    passes = F.col("total") >= F.floor(F.col("n") * F.lit(threshold * UNIT))
+    score = F.when(F.col("n") > 0, F.col("total") / (F.col("n") * UNIT)).otherwise(0.0)
+    return one.select(*keys, *_BASE, _failed().alias("base_failed"), score.alias("llr"), (~_failed() & passes).alias("kept"))
 
 
 def measures(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, the base measures, base_failed, llr (the score) and kept."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    judged = judge(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), target_ids, id_col, text_col, **options)
-    return judged.select(F.col(f"`{id_col}`"), *[F.col(_P + n).alias(n) for n in names], F.col(f"{_P}score").alias("llr"), F.col(f"{_P}kept").alias("kept"))
+    located = with_locator(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")), Workspace(docs.sparkSession, "quality"))
+    judged = judge(located, target_ids.select(F.col(id_col).alias("__id")), ["__file", "__row", "__id"], "__id", "__text", **options)
+    return judged.select(F.col("__id").alias(id_col), *_BASE, "base_failed", "llr", "kept")
 
 
 def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base measures alone."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return _base(_with_words(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col)).select(F.col(f"`{id_col}`"), *[F.col(_P + n).alias(n) for n in names])
+    return _base(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))).select(F.col("__id").alias(id_col), *_BASE, _failed().alias("base_failed"))
 
 
-def keep(docs: DataFrame, target_ids: DataFrame, **options) -> DataFrame:
+def keep(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    judged = judge(docs, target_ids, **options)
-    return judged.filter(F.col(f"{_P}kept")).select(*[judged[f"`{c}`"] for c in docs.columns])
+    space = Workspace(docs.sparkSession, "quality")
+    located = with_locator(docs, space)
+    thin = located.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), "__file", "__row")
+    judged = judge(thin, target_ids.select(F.col(id_col).alias("__id")), ["__file", "__row"], "__id", "__text", **options)
+    gone = space.save(judged.filter("not kept").select(F.col("__file").alias("g_file"), F.col("__row").alias("g_row")), "gone")
+    left = located.join(broadcast_if_small(gone), (F.col("__file") == F.col("g_file")) & (F.col("__row") == F.col("g_row")), "left_anti")
+    return left.select(*[left[f"`{c}`"] for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return keep(docs, trusted(labels))
-
-
-__all__ = ["BUCKETS", "SPACE", "THRESHOLD", "base_measures", "judge", "keep", "measures", "stage", "trusted", "weights"]
