@@ -7,24 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, nbest, quality_rules, simhash
-from .common import table
+from . import chat_format, cotrain, exact_dedup, mixing, nbest, pii, quality_rules, simhash, toxicity, warc
+from .common import Workspace, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measures(table(spark, sf_dir, "documents"), quality_rules.trusted(table(spark, sf_dir, "labels")))
 
 
+#: A conversation whose texts are control strings themselves.
+_CONTROL_CASE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    case = spark.createDataFrame(_CONTROL_CASE, "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.examples(rows.unionByName(case)))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.col("keeper.id").alias("keep_id"), F.col("copies").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_warc_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
+    return warc.read(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     return mixing.mix(docs, []).select(F.col("id").alias("doc_id"), "source", "block", "slot", "place", "phase")
@@ -34,9 +63,37 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op5_exact_dedup, op9_mixing_sources, op10_sentencepiece_nbest)}
+_ALL = (
+    op1_quality_rules, op2_chat_format, op3_simhash_near_dedup, op4_quality_cotraining, op5_exact_dedup, op6_pii_semi_crf,
+    op7_toxicity_noisy_channel, op8_warc_split_reader, op9_mixing_sources, op10_sentencepiece_nbest,
+)
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _ALL}
+
+
+_CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+_ESCAPED = "replace(x, '\\', '\\\\')"
+for _c in _CONTROL:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
+_CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, length('<|im_start|><|im_sep|><|im_end|>') + length({_ESCAPED.replace("(x,", "(role,")}) + length({_ESCAPED.replace("(x,", "(text,")}) AS n,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS m FROM c),
+s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto, role = 'assistant' OR i = m AS ends FROM e)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (ends) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (ends) AS BIGINT) AS n_examples
+FROM s GROUP BY conv_id"""
+
+_WARC = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS full_id FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id = full_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> full_id THEN full_id END AS refers_to, url FROM m"""
 
 _BASE = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -65,4 +122,4 @@ def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"quality_base_measures": _BASE, "op5_exact_dedup": _EXACT}
+    return {"quality_base_measures": _BASE, "op2_chat_format": _CHAT, "op5_exact_dedup": _EXACT, "op8_warc_split_reader": _WARC}
