@@ -55,13 +55,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    d = digits.lstrip("0")
+    return len(d) < 3 or len(d) == 3 and d <= "255"
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, leftmost non-overlapping per kind; a match that fails its check is dropped."""
     out = []
     if "@" in text:
         out += [(m.start(), m.end(), "email") for m in _emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+        out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(octet(p) for p in m[0].split("."))] if "." in text else []
         for m in CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(d) <= 19 and luhn(d):
@@ -129,7 +135,7 @@ def describe(span: str, left: str, right: str) -> tuple[int, ...]:
     if 14 <= n <= 19:
         on.append("card" if plain and luhn(digits) else "long_no_card")
     if _QUAD.fullmatch(span):
-        on.append("dotted" if all(int(p) <= 255 for p in re.findall("[0-9]+", span)) else "dotted_wide")
+        on.append("dotted" if all(octet(p) for p in re.findall("[0-9]+", span)) else "dotted_wide")
     if span[0] == "+":
         on.append("plus")
     if "(" in span:

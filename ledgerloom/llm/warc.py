@@ -89,7 +89,7 @@ def write(pages: DataFrame, space: Workspace, least: int = LEAST) -> DataFrame:
                     system, base = _open(folder)
                     system.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    out = system.open_output_stream(f"{base}/{name}")
+                    out = system.open_output_stream(f"{base}/{name}", compression=None)  # records are compressed one by one
                 data = record(page_id, url, payload, sha1, refers_to)
                 out.write(data)
                 n, size = n + 1, size + len(data)
