@@ -12,8 +12,8 @@ Scores are the model's own piece scores, added; the best segmentation is that of
 applies its merges greedily instead; both decode to the same text.)
 
 Scale. Narrow: one pass over the rows, Arrow batches, no shuffle. The vocabulary (its size is fixed by the model) is read
-on the driver and broadcast, so executors need no model file. Each worker remembers segmented chunks up to ``MEMORY``
-entries; long chunks are never remembered. Work is linear in the text, also for texts without any space.
+on the driver and broadcast, so executors need no model file. Each worker remembers segmented chunks, twice ``MEMORY``
+entries at most; long chunks are never remembered. Work is linear in the text, also for texts without any space.
 
 Defined results. A null text counts as empty; an empty text has no pieces and one segmentation, of score 0. Fewer than N
 segmentations exist for very short texts: then all are returned. Equal scores come in a fixed order. Extra columns are
@@ -26,6 +26,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N = 4
 MARK = "▁"
 #: Remembered chunks of a worker, and the longest remembered chunk.
-MEMORY, LONGEST = 200_000, 48
+MEMORY, LONGEST = 250_000, 48
 #: Less than the worst piece score by this much: a character that the vocabulary lacks.
 UNKNOWN = 10.0
 ROWS = 2_000
 
-_CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-
 
 @dataclass
 class Vocabulary:
@@ -53,11 +52,30 @@ class Vocabulary:
     texts: dict[int, str] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.longest = max(map(len, self.scores), default=1)
         self.unknown = min((s for s in self.scores.values() if s > -1e8), default=0.0) - UNKNOWN
         self.texts = {i: p for p, i in self.ids.items()}
         self.bytes = {i: b for b, i in enumerate(self.byte_ids)}
 
+    @cached_property
+    def trie(self) -> dict:
+        """By first character: (score or None, the same by the next character)."""
+        root: dict = {}
+        for piece in sorted(self.scores):
+            node = root
+            for c in piece[:-1]:
+                node = node.setdefault(c, (None, {}))[1]
+            node[piece[-1]] = (self.scores[piece], node[piece[-1]][1] if piece[-1] in node else {})
+        return root
+
+    @cached_property
+    def chunk(self) -> re.Pattern:
+        """Chunks: a new line, or marks and what follows up to the next mark; cut between a letter and a sign that follows a
+        letter in no piece."""
+        after_letter = {p[k] for p in self.scores for k in range(1, len(p)) if p[k - 1].isalpha()}
+        signs = "".join(re.escape(c) for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if c not in after_letter)
+        cut = rf"{MARK}*[^{MARK}\n{signs}]*[^\W\d_](?=[{signs}])|" if signs else ""
+        return re.compile(rf"\n|{cut}{MARK}*[^{MARK}\n]+|{MARK}+")
+
     @classmethod
     def read(cls, path: str = MODEL) -> Vocabulary:
         import sentencepiece
@@ -78,18 +96,28 @@ class Lattice:
 
     def __init__(self, chunk: str, v: Vocabulary):
         self.chunk, self.v = chunk, v
-        get, longest, unknown = v.scores.get, v.longest, v.unknown
+        root, unknown = v.trie, v.unknown
         n = len(chunk)
-        alpha, back = [0.0] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            best, at = -float("inf"), j - 1
-            for i in range(max(0, j - longest), j):
-                s = get(chunk[i:j])
-                if s is not None and (s := s + alpha[i]) > best:
-                    best, at = s, i
-            if at == j - 1 and chunk[at:j] not in v.scores and (s := alpha[at] + unknown) > best:
-                best = s
-            alpha[j], back[j] = best, at
+        alpha, back = [0.0] + [-float("inf")] * n, [0] * (n + 1)
+        #: By end: (start, score) of its edges, by start.
+        self.edges: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        edges = self.edges
+        for i in range(n):
+            here, j, next_ = alpha[i], i, root
+            for c in chunk[i:]:
+                node = next_.get(c)
+                if node is None:  # no piece begins like this
+                    break
+                s, next_ = node
+                j += 1
+                if s is not None:
+                    edges[j].append((i, s))
+                    if (s := here + s) > alpha[j]:
+                        alpha[j], back[j] = s, i
+            if chunk[i] not in v.scores:  # no piece by itself: its bytes
+                edges[i + 1].append((i, unknown))
+                if here + unknown > alpha[i + 1]:
+                    alpha[i + 1], back[i + 1] = here + unknown, i
         self.alpha = alpha
         ends = [n]
         while ends[-1]:
@@ -99,22 +127,12 @@ class Lattice:
         self.ids = tuple(i for a, b in zip(self.cuts, self.cuts[1:]) for i in v.spell(chunk[a:b]))  # noqa: B905
         self.second = self._second(ends)
 
-    def edges(self, j: int) -> Iterator[tuple[int, float]]:
-        """(start, score) of the edges that end at j."""
-        get, chunk = self.v.scores.get, self.chunk
-        for i in range(max(0, j - self.v.longest), j):
-            s = get(chunk[i:j])
-            if s is not None:
-                yield i, s
-            elif i == j - 1:
-                yield i, self.v.unknown
-
     def _second(self, ends: list[int]) -> float:
         """Score of the second-best segmentation: the best edge beside the best path, completed by it on both sides."""
         most, behind, alpha = -float("inf"), 0.0, self.alpha
         for j, used in zip(ends, ends[1:]):  # noqa: B905
             here = 0.0
-            for i, s in self.edges(j):
+            for i, s in self.edges[j]:
                 if i == used:
                     here = s
                 elif (f := alpha[i] + s + behind) > most:
@@ -140,7 +158,7 @@ class Lattice:
                     a, rest = b, after
                 out.append((-f, tuple(ids)))
                 continue
-            for i, s in self.edges(j):
+            for i, s in self.edges[j]:
                 order += 1
                 heapq.heappush(heap, (-(self.alpha[i] + s + behind), i, order, s + behind, (i, cuts)))
         return out
@@ -149,20 +167,24 @@ class Lattice:
 class Encoder:
     def __init__(self, v: Vocabulary, n: int = N):
         self.v, self.n = v, n
+        #: Remembered chunks: the newer ones, and those that were newer before.
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.v.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def first(self, chunk: str) -> tuple:
         """(ids, best score, what the second best loses)."""
         found = self.known.get(chunk)
         if found is None:
-            x = Lattice(chunk, self.v)
-            found = (x.ids, x.best, x.best - x.second)
+            found = self.older.get(chunk)
+            if found is None:
+                x = Lattice(chunk, self.v)
+                found = (x.ids, x.best, x.best - x.second)
             if len(chunk) <= LONGEST:
                 if len(self.known) >= MEMORY:
-                    self.known.clear()
+                    self.older, self.known = self.known, {}
                 self.known[chunk] = found
         return found
 
@@ -192,6 +214,17 @@ class Encoder:
         return ids, scores, changes
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(model: str, n: int, v: Vocabulary) -> Encoder:
+    """The worker's encoder, kept from task to task with what it remembers."""
+    if (model, n) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model, n] = Encoder(v, n)
+    return _ENCODERS[model, n]
+
+
 def decode(ids: list[int], v: Vocabulary) -> str:
     """Text of a sequence of piece ids."""
     if any(i in v.bytes for i in ids):
@@ -234,7 +267,7 @@ def encode(docs: DataFrame, text_col: str, carry: list[str], n: int = N, model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        encoder = Encoder(v, n)
+        encoder = _encoder(model, n, v)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 b = whole.slice(start, ROWS)
