@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N = 4
 MARK = "▁"
 #: Remembered chunks of a worker, and the longest remembered chunk.
-MEMORY, LONGEST = 250_000, 48
+MEMORY, LONGEST = 400_000, 48
 #: Less than the worst piece score by this much: a character that the vocabulary lacks.
 UNKNOWN = 10.0
 ROWS = 2_000
@@ -170,6 +170,8 @@ class Encoder:
         #: Remembered chunks: the newer ones, and those that were newer before.
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        #: Of chunks that were searched, (loss, ids) of their N best.
+        self.searched: dict[str, list] = {}
 
     def chunks(self, text: str) -> list[str]:
         return self.v.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -188,6 +190,18 @@ class Encoder:
                 self.known[chunk] = found
         return found
 
+    def options(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the N best segmentations of a chunk."""
+        found = self.searched.get(chunk)
+        if found is None:
+            x = Lattice(chunk, self.v)
+            found = [(x.best - s, ids) for s, ids in x.search(self.n)]
+            if len(chunk) <= LONGEST:
+                if len(self.searched) >= MEMORY // 10:
+                    self.searched.clear()
+                self.searched[chunk] = found
+        return found
+
     def encode(self, text: str) -> tuple[list[int], list[float], list[list[tuple[int, tuple[int, ...]]]]]:
         """(best ids, scores best first, per segmentation its changes against the best: chunk number and ids)."""
         chunks = self.chunks(text)
@@ -200,7 +214,7 @@ class Encoder:
         loses = [f[2] for f in firsts]
         # Any of the N best changes only chunks among the N-1 whose second best loses least.
         some = [k for k in heapq.nsmallest(self.n - 1, range(len(loses)), key=loses.__getitem__) if loses[k] < float("inf")]
-        options = [[(firsts[k][1] - s, x) for s, x in Lattice(chunks[k], self.v).search(self.n)] for k in some]
+        options = [self.options(chunks[k]) for k in some]
         heap, seen, scores, changes = [(0.0, (0,) * len(some))], {(0,) * len(some)}, [], []
         while heap and len(scores) < self.n:
             lost, pick = heapq.heappop(heap)
