@@ -11,7 +11,9 @@ from ..functions.text import exact_key
 from ..types import ALWAYS_DROPPED, AUTOMATIC_SOURCES, INTERNAL, NO_CATEGORY, NO_CONTEXT, NO_SUBCATEGORY, USER_SOURCES
 from .filters import direction
 
-ABS = F.abs("amount")
+
+def absolute() -> Column:
+    return F.abs("amount")
 
 
 def double(c: Column) -> Column:
@@ -40,7 +42,7 @@ def period_totals(df: DataFrame) -> DataFrame:
 
 
 def expense_by_category(df: DataFrame) -> DataFrame:
-    return in_scope(df).filter("amount < 0").groupBy(F.coalesce("category", F.lit(NO_CATEGORY)).alias("category")).agg(double(F.sum(ABS)).alias("spent"))
+    return in_scope(df).filter("amount < 0").groupBy(F.coalesce("category", F.lit(NO_CATEGORY)).alias("category")).agg(double(F.sum(absolute())).alias("spent"))
 
 
 def share(value: Column, *by: str) -> Column:
@@ -50,7 +52,7 @@ def share(value: Column, *by: str) -> Column:
 
 def distribution(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Absolute sums by direction and keys, with each one's share of its direction."""
-    g = df.groupBy(direction(F.col("amount")).alias("direction"), *keys).agg(double(F.sum(ABS)).alias("total"))
+    g = df.groupBy(direction(F.col("amount")).alias("direction"), *keys).agg(double(F.sum(absolute())).alias("total"))
     return g.withColumn("share", F.round(share(F.col("total"), "direction"), 6))
 
 
@@ -85,7 +87,7 @@ def counterparts(df: DataFrame) -> DataFrame:
     a = F.col("amount")
     kinds = F.collect_set("category_source")
     base = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), double(F.sum(ABS)).alias("total"), (double(F.sum(ABS)) / F.count("*")).alias("mean"),
+        F.count("*").alias("n"), double(F.sum(absolute())).alias("total"), (double(F.sum(absolute())) / F.count("*")).alias("mean"),
         F.when(F.size(kinds) == 0, "unknown").when(F.size(kinds) == 1, "single").otherwise("mixed").alias("source_mode"),
         F.when(F.count_if(a < 0) == F.count("*"), "expense").when(F.count_if(a >= 0) == F.count("*"), "income").otherwise("mixed").alias("direction"),
         F.count_if(F.col("category").isNull()).alias("uncategorized"), F.coalesce(F.bool_or(F.col("category_source").isin(*USER_SOURCES)), F.lit(False)).alias("by_user"),
