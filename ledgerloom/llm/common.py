@@ -51,7 +51,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_locator(docs: DataFrame, space: Workspace, file: str = "__file", row: str = "__row") -> DataFrame:
+def with_locator(docs: DataFrame, space: Workspace, file: str = "__ll_file", row: str = "__ll_row") -> DataFrame:
     """docs plus the content locator of each row: data file and row index in it.
 
     A locator stays the same however often the table is read. A DataFrame that isn't a scan of files has none, so it is

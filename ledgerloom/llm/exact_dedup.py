@@ -61,10 +61,10 @@ def _rank(id_col: str = "id") -> Column:
 
 
 def index(docs: DataFrame, id_col: str, text_col: str, digest=sha256) -> DataFrame:
-    """Index rows of a DataFrame that has locator columns ``__file`` and ``__row``; works on streams as well."""
+    """Index rows of a DataFrame that has locator columns ``__ll_file`` and ``__ll_row``; works on streams as well."""
     text = F.col(f"`{text_col}`").cast("string")
     return docs.select(
-        F.col(f"`{id_col}`").alias("id"), digest(normalised(text)).alias("digest"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_points"), F.col("__file").alias("file"), F.col("__row").alias("row")
+        F.col(f"`{id_col}`").alias("id"), digest(normalised(text)).alias("digest"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_points"), F.col("__ll_file").alias("file"), F.col("__ll_row").alias("row")
     )
 
 
@@ -102,8 +102,8 @@ def ingest(arrivals: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     """
     spark = arrivals.sparkSession
     meta = arrivals.metadataColumn("_metadata")
-    located = arrivals.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), meta["file_path"].alias("__file"), meta["row_index"].alias("__row"))
-    rows = index(located, "__id", "__text")
+    located = arrivals.select(F.col(f"`{id_col}`").alias("__ll_id"), F.col(f"`{text_col}`").alias("__ll_text"), meta["file_path"].alias("__ll_file"), meta["row_index"].alias("__ll_row"))
+    rows = index(located, "__ll_id", "__ll_text")
     rows.writeStream.format("parquet").option("path", f"{folder}/index").option("checkpointLocation", f"{folder}/index-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return track(spark, f"{folder}/index", rows.schema, f"{folder}/state", **options)
 
@@ -115,14 +115,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", space
     """
     spark = docs.sparkSession
     space = space or Workspace(spark, "exact-dedup")
-    located = with_locator(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")), space)
-    rows = space.save(index(located, "__id", "__text", digest), "index")
+    located = with_locator(docs.select(F.col(f"`{id_col}`").alias("__ll_id"), F.col(f"`{text_col}`").alias("__ll_text")), space)
+    rows = space.save(index(located, "__ll_id", "__ll_text", digest), "index")
     groups = space.save(track(spark, space.path("index"), rows.schema, space.path("state")), "groups")
 
     # Full bytes of the hits, read again by locator.
     hit_rows = space.save(rows.join(groups.filter("copies > 1").select("digest"), "digest", "left_semi").select(F.col("file").alias("h_file"), F.col("row").alias("h_row"), F.col("digest").alias("h_digest")), "hits")
-    hits = located.join(broadcast_if_small(hit_rows), (F.col("__file") == F.col("h_file")) & (F.col("__row") == F.col("h_row")))
-    whole = hits.select(F.col("h_digest").alias("digest"), normalised(F.col("__text").cast("string")).alias("bytes"), "h_file", "h_row")
+    hits = located.join(broadcast_if_small(hit_rows), (F.col("__ll_file") == F.col("h_file")) & (F.col("__ll_row") == F.col("h_row")))
+    whole = hits.select(F.col("h_digest").alias("digest"), normalised(F.col("__ll_text").cast("string")).alias("bytes"), "h_file", "h_row")
     variants = whole.groupBy("digest", "bytes").agg(F.count("*").alias("n"))
     mixed = space.save(variants.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "mixed")
 
@@ -144,7 +144,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """docs without the copies that go; the columns of docs."""
     space = Workspace(docs.sparkSession, "exact-dedup")
     marked = dedup(docs, id_col, text_col, space)
-    gone = space.save(marked.filter(~F.col("kept")).select(F.col("file").alias("__gone_file"), F.col("row").alias("__gone_row")), "gone")
+    gone = space.save(marked.filter(~F.col("kept")).select(F.col("file").alias("__ll_gone_file"), F.col("row").alias("__ll_gone_row")), "gone")
     located = with_locator(docs, space)
-    left = located.join(broadcast_if_small(gone), (F.col("__file") == F.col("__gone_file")) & (F.col("__row") == F.col("__gone_row")), "left_anti")
+    left = located.join(broadcast_if_small(gone), (F.col("__ll_file") == F.col("__ll_gone_file")) & (F.col("__ll_row") == F.col("__ll_gone_row")), "left_anti")
     return left.select(*[left[f"`{c}`"] for c in docs.columns])

@@ -301,7 +301,7 @@ def encode(docs: DataFrame, text_col: str, carry: list[str], n: int = N, model:
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *carry).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("__ll_text"), *carry).mapInArrow(run, schema)
 
 
 def decoded(encoded: DataFrame, ids_col: str, carry: list[str], model: str = MODEL) -> DataFrame:

@@ -350,4 +350,4 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
             columns = [b.column(0), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(digests), pa.array(texts), pa.array(more, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__ll_text")).mapInArrow(run, schema)

@@ -136,24 +136,24 @@ def judge(docs: DataFrame, target_ids: DataFrame, keys: list[str], id_col: str =
 
 def measures(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, the base measures, base_failed, llr (the score) and kept."""
-    located = with_locator(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")), Workspace(docs.sparkSession, "quality"))
-    judged = judge(located, target_ids.select(F.col(id_col).alias("__id")), ["__file", "__row", "__id"], "__id", "__text", **options)
-    return judged.select(F.col("__id").alias(id_col), *_BASE, "base_failed", "llr", "kept")
+    located = with_locator(docs.select(F.col(f"`{id_col}`").alias("__ll_id"), F.col(f"`{text_col}`").alias("__ll_text")), Workspace(docs.sparkSession, "quality"))
+    judged = judge(located, target_ids.select(F.col(id_col).alias("__ll_id")), ["__ll_file", "__ll_row", "__ll_id"], "__ll_id", "__ll_text", **options)
+    return judged.select(F.col("__ll_id").alias(id_col), *_BASE, "base_failed", "llr", "kept")
 
 
 def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base measures alone."""
-    return _base(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))).select(F.col("__id").alias(id_col), *_BASE, _failed().alias("base_failed"))
+    return _base(docs.select(F.col(f"`{id_col}`").alias("__ll_id"), F.col(f"`{text_col}`").alias("text"))).select(F.col("__ll_id").alias(id_col), *_BASE, _failed().alias("base_failed"))
 
 
 def keep(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
     space = Workspace(docs.sparkSession, "quality")
     located = with_locator(docs, space)
-    thin = located.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), "__file", "__row")
-    judged = judge(thin, target_ids.select(F.col(id_col).alias("__id")), ["__file", "__row"], "__id", "__text", **options)
-    gone = space.save(judged.filter("not kept").select(F.col("__file").alias("g_file"), F.col("__row").alias("g_row")), "gone")
-    left = located.join(broadcast_if_small(gone), (F.col("__file") == F.col("g_file")) & (F.col("__row") == F.col("g_row")), "left_anti")
+    thin = located.select(F.col(f"`{id_col}`").alias("__ll_id"), F.col(f"`{text_col}`").alias("__ll_text"), "__ll_file", "__ll_row")
+    judged = judge(thin, target_ids.select(F.col(id_col).alias("__ll_id")), ["__ll_file", "__ll_row"], "__ll_id", "__ll_text", **options)
+    gone = space.save(judged.filter("not kept").select(F.col("__ll_file").alias("__ll_g_file"), F.col("__ll_row").alias("__ll_g_row")), "gone")
+    left = located.join(broadcast_if_small(gone), (F.col("__ll_file") == F.col("__ll_g_file")) & (F.col("__ll_row") == F.col("__ll_g_row")), "left_anti")
     return left.select(*[left[f"`{c}`"] for c in docs.columns])
 
 

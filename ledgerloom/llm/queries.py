@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, cotrain, exact_dedup, mixing, nbest, pii, quality_rules, simhash, toxicity, warc
-from .common import Workspace, table
+from .common import Workspace, table, with_locator
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,9 @@ def op8_warc_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    return mixing.mix(docs, []).select(F.col("id").alias("doc_id"), "source", "block", "slot", "place", "phase")
+    docs = with_locator(table(spark, sf_dir, "documents"), Workspace(spark, "mixing-input"))
+    rows = docs.select(F.col("doc_id").alias("id"), "source", F.col("__ll_file").alias("file"), F.col("__ll_row").alias("row"))
+    return mixing.mix(rows, ["file", "row"], ties=["file", "row"]).select(F.col("id").alias("doc_id"), "source", "block", "slot", "place")
 
 
 def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(0)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp.view(np.int64))], names=[*carry, "fp"])
 
-    return docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *carry).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("__ll_text"), *carry).mapInArrow(run, schema)
 
 
 def _masks(radius: int) -> list[np.ndarray]:
@@ -261,11 +261,11 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """docs with one row of each component: that with the smallest id, then the first by locator."""
     space = Workspace(docs.sparkSession, "simhash")
     located = with_locator(docs, space)
-    thin = located.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"), F.col("__file"), F.col("__row"))
-    rows = space.save(groups(thin, "__id", "__t", ("__file", "__row"), space), "rows")
+    thin = located.select(F.col(f"`{id_col}`").alias("__ll_id"), F.col(f"`{text_col}`").alias("__t"), F.col("__ll_file"), F.col("__ll_row"))
+    rows = space.save(groups(thin, "__ll_id", "__t", ("__ll_file", "__ll_row"), space), "rows")
     # Every component has a row with its id, several only if that id repeats in it.
-    first = rows.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("__file", "__row")).alias("stays"))
-    stay = first.select("stays.*").select(F.col("__file").alias("s_file"), F.col("__row").alias("s_row"))
-    gone = space.save(rows.join(stay, (F.col("__file") == F.col("s_file")) & (F.col("__row") == F.col("s_row")), "left_anti").select(F.col("__file").alias("g_file"), F.col("__row").alias("g_row")), "gone")
-    left = located.join(broadcast_if_small(gone), (F.col("__file") == F.col("g_file")) & (F.col("__row") == F.col("g_row")), "left_anti")
+    first = rows.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("__ll_file", "__ll_row")).alias("stays"))
+    stay = first.select("stays.*").select(F.col("__ll_file").alias("s_file"), F.col("__ll_row").alias("s_row"))
+    gone = space.save(rows.join(stay, (F.col("__ll_file") == F.col("s_file")) & (F.col("__ll_row") == F.col("s_row")), "left_anti").select(F.col("__ll_file").alias("__ll_g_file"), F.col("__ll_row").alias("__ll_g_row")), "gone")
+    left = located.join(broadcast_if_small(gone), (F.col("__ll_file") == F.col("__ll_g_file")) & (F.col("__ll_row") == F.col("__ll_g_row")), "left_anti")
     return left.select(*[left[f"`{c}`"] for c in docs.columns])
