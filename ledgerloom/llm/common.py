@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
-#: A side of a join is broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
+#: A side of a join is broadcast up to this size; beyond it the join shuffles.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only on a local master without that."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or getattr(spark, "_ledgerloom_shared", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark._ledgerloom_shared = base
     return base.rstrip("/")
@@ -46,13 +48,33 @@ class Workspace:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few enough rows, else df itself. df should be a written table: it is counted."""
+    def close(self) -> None:
+        """Remove the folder. For callers that have written what they made of its tables."""
+        self.drop("")
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small, else df itself. df should be a written table of columns of bounded width: its
+    rows are counted, at their schema's size and what a hash table adds."""
+    rows = most_bytes // (df._jdf.schema().defaultSize() + 16)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, side_key: str, count: str, total: int, most: int = 50_000) -> DataFrame:
+    """Inner join of rows with side, which has one row a key and, in ``count``, how many of the ``total`` rows have it.
+
+    Keys of more than a ``most``-th of all rows, of which there are at most as many, are broadcast, so that a hot key's rows
+    stay in the tasks they are in; the rest is a shuffled join without a hot key.
+    """
+    hot = side.filter(F.col(count) > total // most + 1_000)
+    cold = side.filter(F.col(count) <= total // most + 1_000)
+    keys = F.broadcast(hot.select(F.col(side_key).alias("__hot_key")))
+    meets = F.col(key) == F.col(side_key)
+    return rows.join(F.broadcast(hot), meets).unionByName(rows.join(keys, F.col(key) == F.col("__hot_key"), "left_anti").join(cold, meets))
+
+
 def with_locator(docs: DataFrame, space: Workspace, file: str = "__ll_file", row: str = "__ll_row") -> DataFrame:
-    """docs plus the content locator of each row: data file and row index in it.
+    """docs plus the content locator of each row: a 64-bit hash of its data file's path, and the row's index in that file.
 
     A locator stays the same however often the table is read. A DataFrame that isn't a scan of files has none, so it is
     written to the workspace first.
@@ -60,7 +82,7 @@ def with_locator(docs: DataFrame, space: Workspace, file: str = "__ll_file", row
 
     def add(df: DataFrame) -> DataFrame:
         meta = df.metadataColumn("_metadata")
-        return df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(row))
+        return df.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row))
 
     try:
         return add(docs)

@@ -4,20 +4,23 @@ Views. Text: shares of character classes (by byte), word lengths, distinct words
 source and length class, hashed to one-hot features; it never sees the text.
 
 Method. Each view has a logistic classifier, first fitted to its part of the labelled rows. In every round each one scores
-a pool of unlabelled rows; its most confident answers, as many of each class as the labels' proportions ask and only
-where it is surer than the labels' own share of that class, become pseudo-labels in the *other* view's training set. After the last round both are calibrated
-(Platt scaling) on labelled rows kept aside, and a logistic combination of the two calibrated log-odds, fitted on the
-same rows, scores all documents.
+all rows that are not in the labelled sample and were not taken before; its most confident answers, as many of each class as
+the labels' proportions ask and only where it is surer than the labels' own share of that class, become pseudo-labels in the
+*other* view's training set. After the last round both are calibrated (Platt scaling) on labelled rows kept aside, and a
+logistic combination of the two calibrated log-odds, fitted on the same rows, scores all documents.
 
-Learning is on bounded samples (documented parameters): at most ``LABELLED`` labelled rows, none of them held out
-(crc32 of the id as text, mod 5, is 0), and at most ``POOL`` unlabelled rows, those with the lowest id hashes.
+Learning is on at most ``LABELLED`` labelled rows (a documented parameter), those with the lowest id hashes, none of them held
+out (crc32 of the id as text, mod 5, is 0). Unlabelled rows have no bound: every round reads them all.
 
-Scale. Samples are bounded top-k selections joined by a proven-bound broadcast; their feature vectors (not texts) come to
-the driver. Scoring is narrow, in Arrow batches, linear in the text.
+Scale. Texts are read once: features are written (about a quarter of the texts' size) and all rounds and the scoring read
+them. A round is one narrow pass in which a task keeps its best ``PER_ROUND`` answers by view and class; Spark merges these
+to the best overall, and only their features come to the driver, as many at every size of the corpus. Sums over rows are
+linear in the text, also for very long ones.
 
 Defined results. Null text counts as empty; null language or source are values of their own. Without labels of both
-classes every document scores 1 (nothing is rejected without evidence). Repeated rows are scored one by one; a null id
-is held out. Extra columns are ignored.
+classes every document scores 1 (nothing is rejected without evidence). Answers of equal confidence are taken in the order
+of id hashes. Repeated rows are scored one by one; of repeated ids among the labelled rows one row is learned from; a null
+id is held out. An empty table gives no rows. Extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELLED, POOL, ROUNDS, PER_ROUND = 6_000, 6_000, 5, 200
+from .common import Workspace
+
+LABELLED, ROUNDS, PER_ROUND = 6_000, 5, 200
 META = 128
+#: Rows of a batch that are turned into features at a time.
+ROWS = 1_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -94,92 +101,125 @@ class Model:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(self.combine[0] + self.combine[1] * z[0] + self.combine[2] * z[1])
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
-    """Labelled rows in both views and their labels; unlabelled rows in both views."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            b = whole.slice(start, ROWS)
+            t = [text_view(x.as_py() or "").astype(np.float32) for x in b.column(0)]
+            m = [np.flatnonzero(meta_view(*x)).astype(np.int32) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[4:], pa.array(t, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.int32()))], names=[*b.schema.names[4:], "t", "m"])
+
+
+def features(docs: DataFrame, space: Workspace) -> DataFrame:
+    """Written table (id, held_out, h, n, t, m): of each row of docs (doc_id, text, lang, source, n_chars) its views; h is the
+    id's hash and n a number of its own. m lists the metadata features that are 1."""
+    read = docs.select(
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"),
+        F.col("doc_id").alias("id"), held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id").alias("h"), F.monotonically_increasing_id().alias("n"),
+    )
+    schema = read.select("id", "held_out", "h", "n").schema.add("t", "array<float>").add("m", "array<int>")
+    return space.save(read.mapInArrow(_features, schema), "features")
+
+
+def _views(t: pa.Array, m: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Dense matrices of both views."""
+    xt = t.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+    xm = np.zeros((len(m), META))
+    xm[np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy())), m.flatten().to_numpy()] = 1.0
+    return xt, xm
+
+
+def _kinds(share: float, per_round: int) -> list[tuple[int, int, int, float]]:
+    """(view, label, how many, least confidence) of the answers that a round takes, in the order in which they are taken."""
+    return [(i, label, n, max(0.9, share if label else 1 - share)) for i in (0, 1) for label, n in ((1, round(per_round * share)), (0, round(per_round * (1 - share))))]
+
+
+def _best(table: DataFrame, weights: list[np.ndarray], kinds: list[tuple[int, int, int, float]], taken: set[int]) -> DataFrame:
+    """(kind, sure, h, n): by kind the most confident rows of the table, enough of them even if every other kind takes first."""
+    most = sum(k[2] for k in kinds)
+    shared = table.sparkSession.sparkContext.broadcast((weights, np.array(sorted(taken), np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, gone = shared.value
+        held = [np.empty((0, 3)) for _ in kinds]
+        ids = [np.empty((0, 2), np.int64) for _ in kinds]
+        for b in batches:
+            h, n = (b.column(i).to_numpy() for i in (0, 1))
+            xs = _views(b.column(2), b.column(3))
+            free = ~np.isin(n, gone)
+            p = [_sigmoid(x @ v) for x, v in zip(xs, w, strict=True)]
+            for j, (i, label, _, floor) in enumerate(kinds):
+                sure = p[i] if label else 1 - p[i]
+                at = free & (sure >= floor)
+                s, k = np.r_[held[j][:, 0], sure[at]], np.r_[ids[j], np.c_[h[at], n[at]]]
+                top = np.lexsort((k[:, 1], k[:, 0], -s))[:most]
+                held[j], ids[j] = s[top][:, None], k[top]
+        for j in range(len(kinds)):
+            if len(ids[j]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids[j]), j, np.int32)), pa.array(held[j][:, 0]), pa.array(ids[j][:, 0]), pa.array(ids[j][:, 1])], names=["kind", "sure", "h", "n"])
+
+    found = table.select("h", "n", "t", "m").mapInArrow(run, "kind int, sure double, h long, n long")
+    # Four groups, of ``most`` rows a task; a rank limit keeps as many of each before and after the exchange.
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("sure"), "h", "n"))
+    return found.withColumn("place", place).filter(F.col("place") <= most).orderBy("kind", "place").select("kind", "n")
+
+
+def _fetch(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """(first column, text view, metadata view) of a bounded number of rows (first, t, m)."""
+    got = rows.collect()
+    t = pa.array([r["t"] for r in got], pa.list_(pa.float32()))
+    m = pa.array([r["m"] for r in got], pa.list_(pa.int32()))
+    return [r[0] for r in got], *_views(t, m)
+
+
+def train(table: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """table is that of ``features``; labels has doc_id, quality. None without labels of both classes."""
+    known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").cast("double").alias("y"))
+    chosen = known.orderBy(F.xxhash64("l_id"), "l_id").limit(labelled)
+    mine = table.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).groupBy("l_id", "y", "h").agg(F.min_by(F.struct("n", "t", "m"), "n").alias("x"))
+    first, xt, xm = _fetch(mine.orderBy("h", "l_id").select(F.struct("y", "x.n").alias("first"), "x.t", "x.m"))
+    y = np.array([f["y"] for f in first])
+    if len(set(y)) < 2:
+        return None
     aside = np.arange(len(y)) % 4 == 0
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         aside = np.zeros(len(y), bool)
-    share = y[~aside].mean()
-    views = [(xt, ut), (xm, um)]
-    own = [([x[~aside]], [y[~aside]]) for x, _ in views]
-    left = np.ones(len(ut), bool)
+    own = [([x[~aside]], [y[~aside]]) for x in (xt, xm)]
     weights = [fit(np.vstack(a), np.concatenate(b)) for a, b in own]
+    kinds, taken = _kinds(float(y[~aside].mean()), per_round), {f["n"] for f in first}
     for _ in range(rounds):
-        taken = np.zeros(len(ut), bool)
-        for i, (_, u) in enumerate(views):
-            p = _sigmoid(u @ weights[i])
-            for label, sure, n in ((1, p, round(per_round * share)), (0, 1 - p, round(per_round * (1 - share)))):
-                floor = max(0.9, share if label else 1 - share)
-                at = np.flatnonzero(left & ~taken & (sure >= floor))
-                at = at[np.argsort(-sure[at], kind="stable")[:n]]
-                taken[at] = True
-                other = 1 - i
-                own[other][0].append(views[other][1][at])
-                own[other][1].append(np.full(len(at), float(label)))
-        if not taken.any():
+        label_of: dict[int, tuple[int, int]] = {}  # row -> (the view that answers, its answer)
+        left = [k[2] for k in kinds]
+        for r in _best(table, weights, kinds, taken).collect():
+            if left[r["kind"]] and r["n"] not in label_of:
+                label_of[r["n"]] = kinds[r["kind"]][:2]
+                left[r["kind"]] -= 1
+        if not label_of:
             break
-        left &= ~taken
+        taken |= set(label_of)
+        wanted = table.sparkSession.createDataFrame([(n,) for n in label_of], "w_n long")
+        ns, ut, um = _fetch(table.join(F.broadcast(wanted), F.col("n") == F.col("w_n")).orderBy("h", "n").select("n", "t", "m"))
+        for i in (0, 1):
+            at = np.array([label_of[n][0] == i for n in ns])
+            own[1 - i][0].append((um, ut)[i][at])
+            own[1 - i][1].append(np.array([float(label_of[n][1]) for n, a in zip(ns, at, strict=True) if a]))
         weights = [fit(np.vstack(a), np.concatenate(b)) for a, b in own]
     test = aside if aside.any() else np.ones(len(y), bool)
-    z = [x[test] @ w for (x, _), w in zip(views, weights, strict=True)]
+    z = [x[test] @ w for x, w in zip((xt, xm), weights, strict=True)]
     platt = np.array([fit(np.c_[np.ones(len(v)), v], y[test], 1e-2) for v in z])
     cal = [a + b * v for (a, b), v in zip(platt, z, strict=True)]
     return Model(weights[0], weights[1], platt, fit(np.c_[np.ones(len(cal[0])), cal[0], cal[1]], y[test], 1e-2))
 
 
-_SCHEMA = "y double, t array<double>, m array<double>"
-
-
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        y, texts, langs, sources, sizes = (c.to_pylist() for c in b.columns)
-        t = [text_view(x or "").tolist() for x in texts]
-        m = [meta_view(*x).tolist() for x in zip(langs, sources, sizes, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(t, pa.list_(pa.float64())), pa.array(m, pa.list_(pa.float64()))], names=["y", "t", "m"])
-
-
-def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """docs has doc_id, text, lang, source, n_chars; labels has doc_id, quality."""
-    known = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").cast("double").alias("y"))
-    h = F.xxhash64("l_id")
-    chosen = known.filter(~held_out(F.col("l_id"))).orderBy(h, "l_id").limit(labelled)
-    free = docs.select(F.col("doc_id").alias("l_id")).filter("l_id is not null").join(known.select("l_id"), "l_id", "left_anti").distinct().orderBy(h, "l_id").limit(pool).select("l_id", F.lit(None).cast("double").alias("y"))
-    ids = chosen.unionByName(free)
-    rows = _inputs(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", "text", "lang", "source", "n_chars")
-    found = rows.select("y", "text", "lang", "source", "n_chars").mapInArrow(_vectors, _SCHEMA).toPandas()
-    if found.empty:
-        return None
-    # The same order, and so the same model, however Spark dealt the rows.
-    t, m = np.array(found["t"].tolist()), np.array(found["m"].tolist())
-    order = np.lexsort((*t[:, 1:40].T, m @ np.arange(m.shape[1])))
-    y, t, m = found["y"].to_numpy()[order], t[order], m[order]
-    has = ~np.isnan(y)
-    if len(set(y[has])) < 2:
-        return None
-    return co_train(t[has], m[has], y[has], t[~has], m[~has])
-
-
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """One row per document: doc_id, held_out, p_text, p_meta, score, kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.select("doc_id").schema[0], T.StructField("held_out", T.BooleanType()), *[T.StructField(n, T.DoubleType()) for n in ("p_text", "p_meta", "score")], T.StructField("kept", T.BooleanType())])
+def score(table: DataFrame, model: Model | None) -> DataFrame:
+    """One row per row of a table of ``features``: doc_id, held_out, p_text, p_meta, score, kept."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+    named = table.select(F.col("id").alias("doc_id"), "held_out", "t", "m")
+    schema = T.StructType([*named.schema[:2], *[T.StructField(n, T.DoubleType()) for n in ("p_text", "p_meta", "score")], T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                b = whole.slice(start, 1000)
-                if m is None:
-                    p = [np.ones(b.num_rows)] * 3
-                else:
-                    xt = np.array([text_view(t.as_py() or "") for t in b.column(2)])
-                    xm = np.array([meta_view(*x) for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)])
-                    p = m.scores(xt, xm)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, p), pa.array(p[2] >= 0.5)], names=schema.names)
-
-    read = _inputs(docs)
-    return read.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", "lang", "source", "n_chars").mapInArrow(run, schema)
+        for b in batches:
+            p = shared.value.scores(*_views(b.column(2), b.column(3))) if shared.value and b.num_rows else [np.ones(b.num_rows)] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, p), pa.array(p[2] >= 0.5)], names=schema.names)
+
+    return named.mapInArrow(run, schema)

@@ -16,8 +16,8 @@ on the driver and broadcast, so executors need no model file. Each worker rememb
 entries at most; long chunks are never remembered. Work is linear in the text, also for texts without any space.
 
 Defined results. A null text counts as empty; an empty text has no pieces and one segmentation, of score 0. Fewer than N
-segmentations exist for very short texts: then all are returned. Equal scores come in a fixed order. Extra columns are
-ignored or carried whatever their names.
+segmentations exist for very short texts: then all are returned. Equal scores come in a fixed order. Repeated rows are
+encoded one by one and alike; an empty table gives no rows. Extra columns are ignored or carried whatever their names.
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ class Vocabulary:
         self.unknown = min((s for s in self.scores.values() if s > -1e8), default=0.0) - UNKNOWN
         self.texts = {i: p for p, i in self.ids.items()}
         self.bytes = {i: b for b, i in enumerate(self.byte_ids)}
+        self.longest = max(map(len, self.scores), default=1)
 
     @cached_property
     def trie(self) -> dict:
@@ -96,7 +97,7 @@ class Lattice:
 
     def __init__(self, chunk: str, v: Vocabulary):
         self.chunk, self.v = chunk, v
-        root, unknown = v.trie, v.unknown
+        root, unknown, longest = v.trie, v.unknown, v.longest
         n = len(chunk)
         alpha, back = [0.0] + [-float("inf")] * n, [0] * (n + 1)
         #: By end: (start, score) of its edges, by start.
@@ -104,7 +105,7 @@ class Lattice:
         edges = self.edges
         for i in range(n):
             here, j, next_ = alpha[i], i, root
-            for c in chunk[i:]:
+            for c in chunk[i : i + longest]:
                 node = next_.get(c)
                 if node is None:  # no piece begins like this
                     break

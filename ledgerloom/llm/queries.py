@@ -31,8 +31,8 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
+    rows = cotrain.features(table(spark, sf_dir, "documents"), Workspace(spark, "cotrain"))
+    return cotrain.score(rows, cotrain.train(rows, table(spark, sf_dir, "labels")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

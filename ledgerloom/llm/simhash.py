@@ -19,7 +19,8 @@ are distributed, nothing of the corpus goes to the driver.
 
 Defined results. Null text counts as empty; a text without words has fingerprint 0, which links like any other; fewer than
 4 words are one shingle. Rows with null ids are linked but never name a component (null if all ids in it are null).
-Repeated rows share a component. Extra columns are ignored or carried whatever their names.
+Repeated rows share a component; very long texts are hashed in parts of bounded size. An empty table gives no rows. Extra
+columns are ignored or carried whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, broadcast_if_small, shuffle_partitions, with_locator
+from .common import Workspace, broadcast_if_small, join_hot, shuffle_partitions, with_locator
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
+#: Replication radius of a half: covering radius 1 plus half of its threshold 2. 3, covering radius plus threshold, finds the same.
+RADIUS = 2
 CROWD = 20_000
 #: Up to this many fingerprints at an anchor are compared pair by pair in one vector operation per offset.
 FEW = 48
@@ -89,7 +92,7 @@ def _masks(radius: int) -> list[np.ndarray]:
 
 
 _CHECKS = [np.uint32(sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)) for k in range(5)]
-_WITHIN = {2: _masks(2), 3: _masks(3)}
+_WITHIN = {r: _masks(r) for r in (2, 3)}
 
 
 def _anchors(half: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +112,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x.astype(np.uint64)).view(np.int64))
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp -> (key, sub, fp) for each half's anchors; bit 32 of the key names the half."""
-    for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for half in (0, 1):
-            i, anchor = _anchors((fps >> np.uint64(32 * half)).astype(np.uint32), 2)
-            key = anchor.astype(np.uint64) | np.uint64(half << 32)
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(np.zeros(len(i), np.int64)), _signed(fps[i])], names=["key", "sub", "fp"])
+def _replicate(radius: int):
+    """mapInArrow function fp -> (key, sub, fp) for each half's anchors within radius; bit 32 of the key names the half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for half in (0, 1):
+                i, anchor = _anchors((fps >> np.uint64(32 * half)).astype(np.uint32), radius)
+                key = anchor.astype(np.uint64) | np.uint64(half << 32)
+                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(np.zeros(len(i), np.int64)), _signed(fps[i])], names=["key", "sub", "fp"])
+
+    return run
 
 
 def _replicate_crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,14 +211,14 @@ def _linker(crowd: int):
 _LINKS = "kind int, a long, b long"
 
 
-def links(fps: DataFrame, space: Workspace, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame, space: Workspace, crowd: int = CROWD, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) that connect exactly what all pairs within DISTANCE connect."""
     parts = shuffle_partitions(fps.sparkSession)
 
     def search(replicas: DataFrame, limit: int, name: str) -> DataFrame:
         return space.save(replicas.repartition(parts, "key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_linker(limit), _LINKS), name)
 
-    found = search(fps.select("fp").mapInArrow(_replicate, "key long, sub long, fp long"), crowd, "links")
+    found = search(fps.select("fp").mapInArrow(_replicate(radius), "key long, sub long, fp long"), crowd, "links")
     crowded = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     edges = found.filter("kind = 0")
     if not crowded.isEmpty():
@@ -249,12 +256,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     """One row per document: id, the columns named in carry, fp (signed long), root (the component's key), component_id."""
     space = space or Workspace(docs.sparkSession, "simhash")
     rows = space.save(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__in"), *carry), "__in", ["id", *carry]), "fingerprints")
-    nodes = space.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = space.save(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, space, crowd), space)
-    of_root = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = of_root.join(named, "root").select(F.col("fp").alias("n_fp"), "root", "component_id")
-    return rows.join(of_fp, F.col("fp") == F.col("n_fp")).select("id", *carry, "fp", "root", "component_id")
+    of_root = space.save(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "of-root")
+    named = space.save(of_root.groupBy(F.col("root").alias("n_root")).agg(F.min("least").alias("component_id"), F.count("*").alias("fps"), F.sum("n").alias("rows")), "components")
+    fps, total = named.agg(F.coalesce(F.sum("fps"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    # Components of many fingerprints and fingerprints of many rows don't meet in one task.
+    of_fp = join_hot(of_root, named.select("n_root", "component_id", "fps"), "root", "n_root", "fps", fps).select(F.col("fp").alias("n_fp"), "root", "component_id", "n")
+    return join_hot(rows, space.save(of_fp, "named"), "fp", "n_fp", "n", total).select("id", *carry, "fp", "root", "component_id")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
