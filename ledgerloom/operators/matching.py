@@ -8,9 +8,7 @@ of edges that wait for one another are what turns depend on, not the number of r
 from __future__ import annotations
 
 from decimal import Decimal
-from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +48,14 @@ def rank_of(confidence: Column) -> Column:
     return F.when(confidence == "high", 0).when(confidence == "medium", 1).otherwise(2)
 
 
-def greedy(edges: DataFrame, left: str, right: str, order: list[Column], space: Workspace, most_turns: int = 1000) -> DataFrame:
+def greedy(edges: DataFrame, left: str, right: str, order: list[Column], space: Workspace) -> DataFrame:
     """Edges that a greedy pass in the order (strict: ties are broken by both ends) would take, each end once."""
     key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
     columns = edges.columns
     rest = space.save(edges.withColumn("__key", key), "edges0")
     taken, turn = None, 0
     while not rest.isEmpty():
-        turn += 1
-        if turn > most_turns:
-            raise RuntimeError(f"matching isn't done after {most_turns} turns")
+        turn += 1  # takes the first edge of all at least, so turns come to an end
         first_l = rest.groupBy(F.col(left).alias("__l")).agg(F.min("__key").alias("__kl"))
         first_r = rest.groupBy(F.col(right).alias("__r")).agg(F.min("__key").alias("__kr"))
         best = rest.join(first_l, (F.col(left) == F.col("__l")) & (F.col("__key") == F.col("__kl")), "left_semi").join(first_r, (F.col(right) == F.col("__r")) & (F.col("__key") == F.col("__kr")), "left_semi")
@@ -100,100 +96,133 @@ def find_twins(incoming: DataFrame, saved: DataFrame) -> DataFrame:
     return greedy(twin_candidates(incoming, saved), "id", "saved_id", [], Workspace(incoming.sparkSession, "twins"))
 
 
-def best_containment(names: DataFrame, inputs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(name_id, input_id, score): names assigned to inputs by the share of their words the input holds, best first, one to one."""
-    n = names.select("name_id", F.array_distinct(words("name")).alias("nw"))
-    i = inputs.select("input_id", F.array_distinct(words("text")).alias("iw"))
-    shared = n.withColumn("w", F.explode("nw")).join(i.select("input_id", F.explode("iw").alias("w")), "w").groupBy("name_id", "input_id").agg(F.count("*").alias("k"))
-    scored = shared.join(n, "name_id").select("name_id", "input_id", (F.col("k") / F.size("nw")).alias("score")).filter(F.col("score") >= least)
-    return greedy(scored, "name_id", "input_id", [-F.col("score")], Workspace(names.sparkSession, "containment"))
+def best_containment(names: DataFrame, inputs: DataFrame, least: float = 0.0, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(name_id, input_id, score): names assigned to inputs by the share of their words the input holds, best first, one to one.
+
+    Every score above 0 counts, and from ``least`` on. Names and inputs meet within the columns of ``scope`` (one file, say).
+    """
+    n = names.select("name_id", *scope, F.array_distinct(words("name")).alias("nw"))
+    i = inputs.select("input_id", *scope, F.explode(F.array_distinct(words("text"))).alias("w"))
+    shared = n.select("name_id", *scope, F.size("nw").alias("of"), F.explode("nw").alias("w")).join(i, [*scope, "w"]).groupBy("name_id", "input_id").agg((F.count("*") / F.first("of")).alias("score"))
+    return greedy(shared.filter(F.col("score") >= least), "name_id", "input_id", [-F.col("score")], Workspace(names.sparkSession, "containment"))
 
 
 WINDOW_BACK, WINDOW_AHEAD, GAP, EDGE = 45, 7, 5, 10
+#: Sums are compared as whole numbers of the fourth decimal.
+UNIT = 10_000
+
 
+def settlement_windows(df: DataFrame, scope: str | None = "account_label", links: DataFrame | None = None) -> DataFrame:
+    """(settlement_id, s_account, s_date, target, id, date, value): open card rows within the window around each settlement.
 
-def settlement_windows(df: DataFrame) -> DataFrame:
-    """(settlement_id, id): card rows of the settlement's account within the window around it; buckets of window width are an equi-join."""
+    ``scope`` is the column that a settlement shares with its card rows; None lets all rows of df meet (one import's rows).
+    ``links`` (card_account, bank_account) says on which account a card is settled; cards that it leaves out settle on their
+    own. Rows without an amount or date are in no window. Buckets of window width are an equi-join.
+    """
     width = WINDOW_BACK + WINDOW_AHEAD + 1
     bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
-    s = df.filter("tx_type = 'card_settlement'").select(F.col("id").alias("settlement_id"), F.col("account_label").alias("s_account"), F.col("date").alias("s_date"), F.abs("amount").alias("target"))
+    own = F.col(scope) if scope else F.lit("")
+    s = df.filter("tx_type = 'card_settlement' and amount is not null").select(F.col("id").alias("settlement_id"), own.alias("s_account"), F.col("date").alias("s_date"), F.abs("amount").alias("target"))
     s = s.withColumn("b", F.explode(F.array_distinct(F.array(bucket(F.date_sub("s_date", WINDOW_BACK)), bucket(F.date_add("s_date", WINDOW_AHEAD))))))
-    c = df.filter("tx_type = 'card_tx' and not coalesce(reconciled, false)").select("id", F.col("account_label").alias("c_account"), "date", F.abs("amount").alias("value"), bucket(F.col("date")).alias("c_b"))
+    c = df.filter("tx_type = 'card_tx' and not coalesce(reconciled, false) and amount is not null").select("id", own.alias("c_account"), "date", F.abs("amount").alias("value"), bucket(F.col("date")).alias("c_b"))
+    if links is not None:
+        to = links.select(F.col("card_account").alias("c_account"), F.col("bank_account"))
+        c = c.join(to, "c_account", "left").withColumn("c_account", F.coalesce("bank_account", "c_account")).drop("bank_account")
     near = F.col("date").between(F.date_sub("s_date", WINDOW_BACK), F.date_add("s_date", WINDOW_AHEAD))
     return s.join(c, (F.col("s_account") == F.col("c_account")) & (F.col("b") == F.col("c_b")) & near).drop("b", "c_b", "c_account")
 
 
-def sliding_matches(windows: DataFrame, epsilon: float = 0.01) -> DataFrame:
+def _units(amount: Column | str) -> Column:
+    return ((F.col(amount) if isinstance(amount, str) else amount) * UNIT).cast("long")
+
+
+def _near(need: Column, tolerance: int) -> Column:
+    """Buckets of ``tolerance`` units in which a sum within the tolerance of ``need`` can lie."""
+    return F.explode(F.sequence(F.floor((need - tolerance) / tolerance), F.floor((need + tolerance) / tolerance)))
+
+
+def sliding_matches(windows: DataFrame, epsilon: float | str = 0.01) -> DataFrame:
     """(settlement_id, first, last, n): the first contiguous run of a window (gaps of at most GAP days) whose sum is the target.
 
     Sums of runs are differences of running sums: a run's end is looked up by its start's running sum plus the target, in
-    buckets of one cent. Every settlement is searched on its own; see ``settle`` for rows that settlements share.
+    buckets of the tolerance. Every settlement is searched on its own; see ``settle`` for rows that settlements share.
     """
     w = Window.partitionBy("settlement_id").orderBy("date", "id")
-    r = windows.withColumn("i", F.row_number().over(w)).withColumn("sum", F.sum("value").over(w))
+    r = windows.withColumn("i", F.row_number().over(w)).withColumn("upto", F.sum(_units("value")).over(w))
     gap = F.datediff("date", F.lag("date").over(w)) > GAP
     r = r.withColumn("island", F.sum(F.when(gap, 1).otherwise(0)).over(w))
-    starts = r.select("settlement_id", "island", F.col("i").alias("first"), F.col("target"), (F.col("sum") - F.col("value")).alias("before"))
-    tol = max(1, round(epsilon * 100))
-    starts = starts.withColumn("c", F.explode(F.sequence(cents(F.col("before") + F.col("target")) - tol, cents(F.col("before") + F.col("target")) + tol)))
-    ends = r.select(F.col("settlement_id").alias("e_id"), F.col("island").alias("e_island"), F.col("i").alias("last"), cents(F.col("sum")).alias("e_c"))
-    met = starts.join(ends, (F.col("settlement_id") == F.col("e_id")) & (F.col("island") == F.col("e_island")) & (F.col("c") == F.col("e_c")) & (F.col("last") >= F.col("first")))
+    tol = max(1, int(Decimal(str(epsilon)) * UNIT))
+    starts = r.select("settlement_id", "island", F.col("i").alias("first"), (F.col("upto") - _units("value") + _units("target")).alias("need")).withColumn("c", _near(F.col("need"), tol))
+    ends = r.select(F.col("settlement_id").alias("e_id"), F.col("island").alias("e_island"), F.col("i").alias("last"), "upto", F.floor(F.col("upto") / tol).alias("e_c"))
+    met = starts.join(ends, (F.col("settlement_id") == F.col("e_id")) & (F.col("island") == F.col("e_island")) & (F.col("c") == F.col("e_c")) & (F.col("last") >= F.col("first")) & (F.abs(F.col("upto") - F.col("need")) <= tol))
     best = met.groupBy("settlement_id").agg(F.min(F.struct("first", "last")).alias("m"))
     return best.select("settlement_id", "m.first", "m.last", (F.col("m.last") - F.col("m.first") + 1).alias("n"))
 
 
-def _run(rows: list[tuple], target: Decimal, epsilon: Decimal) -> list[int] | None:
-    for start in range(len(rows)):
-        total = Decimal(0)
-        for end in range(start, len(rows)):
-            if end > start and (rows[end][0] - rows[end - 1][0]).days > GAP:
-                break
-            total += rows[end][2]
-            if abs(total - target) <= epsilon:
-                return list(range(start, end + 1))
-            if total > target + epsilon:
-                break
-    return None
-
+def subset_matches(windows: DataFrame, epsilon: float | str = 0.01) -> DataFrame:
+    """(settlement_id, matched_ids): the smallest set of the EDGE rows before a settlement and the EDGE rows from its day on whose
+    sum is the target; among equal sizes the one with the earliest rows (date, id).
 
-def _subset(values: list[Decimal], target: Decimal, epsilon: Decimal) -> list[int] | None:
-    """Smallest subset, then the first in order; values are not negative."""
-    for size in range(1, len(values) + 1):
-        for chosen in combinations(range(len(values)), size):
-            if abs(sum(values[i] for i in chosen) - target) <= epsilon:
-                return list(chosen)
-    return None
+    Meet in the middle: the 2^EDGE sums of the rows before and of those after are made apart and joined by what is missing to
+    the target. A set is a mask whose higher bits are earlier rows, so earliest means largest; of equal sums and sizes on one
+    side only the largest mask can be part of the answer, which bounds the join whatever the amounts are.
+    """
+    tol = max(1, int(Decimal(str(epsilon)) * UNIT))
+    early = F.col("date") < F.col("s_date")
+    w = Window.partitionBy("settlement_id", early)
+    back = F.row_number().over(w.orderBy(F.desc("date"), F.desc("id")))
+    ahead = F.row_number().over(w.orderBy("date", "id"))
+    pool = windows.withColumn("early", early).withColumn("k", F.when(early, back).otherwise(ahead)).filter(F.col("k") <= EDGE)
+    item = F.struct("date", "id", _units("value").alias("u"))
+    pick = lambda on: F.sort_array(F.collect_list(F.when(on, item)))
+    sides = pool.groupBy("settlement_id").agg(F.first(_units("target")).alias("target"), pick(F.col("early")).alias("before"), pick(~F.col("early")).alias("after"))
+
+    def sums(side: str, p: str) -> DataFrame:
+        n, u = F.size(side), F.transform(side, lambda x: x["u"])
+        masks = sides.select("settlement_id", "target", n.alias("n"), u.alias("u"), F.explode(F.sequence(F.lit(0), F.expr(f"shiftleft(1, size({side}))") - 1)).alias("mask"))
+        total = F.expr("aggregate(u, struct(0L as s, n - 1 as bit), (a, x) -> struct(a.s + if((shiftright(mask, a.bit) & 1) = 1, x, 0L) as s, a.bit - 1 as bit)).s")
+        by = masks.select("settlement_id", "target", total.alias("sum"), F.bit_count("mask").alias("size"), "mask")
+        return by.groupBy("settlement_id", "target", "sum", "size").agg(F.max("mask").alias("mask")).select(*[F.col(c).alias(f"{p}_{c}") for c in ("settlement_id", "target", "sum", "size", "mask")])
+
+    a = sums("before", "a").withColumn("need", F.col("a_target") - F.col("a_sum")).withColumn("c", _near(F.col("need"), tol))
+    b = sums("after", "b")
+    met = a.join(b, (F.col("a_settlement_id") == F.col("b_settlement_id")) & (F.col("c") == F.floor(F.col("b_sum") / tol)) & (F.abs(F.col("b_sum") - F.col("need")) <= tol) & (F.col("a_size") + F.col("b_size") > 0))
+    best = met.groupBy(F.col("a_settlement_id").alias("m_id")).agg(F.min(F.struct((F.col("a_size") + F.col("b_size")).alias("size"), (-F.col("a_mask")).alias("a"), (-F.col("b_mask")).alias("b"))).alias("m"))
+    chosen = lambda side, m: f"transform(filter({side}, (x, i) -> (shiftright(-m.{m}, size({side}) - 1 - i) & 1) = 1), x -> x.id)"
+    return sides.join(best, F.col("settlement_id") == F.col("m_id")).select("settlement_id", F.expr(f"concat({chosen('before', 'a')}, {chosen('after', 'b')})").alias("matched_ids"))
+
+
+def _each_settled(windows: DataFrame, epsilon: str) -> DataFrame:
+    """(settlement_id, matched_ids, method) of settlements on their own: by run, else by subset."""
+    runs = sliding_matches(windows, epsilon).select(F.col("settlement_id").alias("r_id"), "first", "last")
+    w = Window.partitionBy("settlement_id").orderBy("date", "id")
+    placed = windows.withColumn("i", F.row_number().over(w)).join(runs, (F.col("settlement_id") == F.col("r_id")) & F.col("i").between(F.col("first"), F.col("last")))
+    by_run = placed.groupBy("settlement_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("matched_ids"))
+    others = windows.join(runs.select("r_id"), F.col("settlement_id") == F.col("r_id"), "left_anti")
+    return by_run.withColumn("method", F.lit("sliding_window")).unionByName(subset_matches(others, epsilon).withColumn("method", F.lit("subset_sum")))
 
 
-def settle(df: DataFrame, epsilon: str = "0.01") -> DataFrame:
-    """(settlement_id, matched_ids, method): settlements in order of date, each taking card rows that no earlier one took.
+def settle(df: DataFrame, epsilon: str = "0.01", scope: str | None = "account_label", links: DataFrame | None = None) -> DataFrame:
+    """(settlement_id, matched_ids, method): settlements in order of (date, id), each taking card rows that no earlier one took.
 
-    A settlement can only meet rows of its account in its window, so an account's settlements fall into chains that share
-    rows: settlements whose windows don't overlap are independent. A task gets one chain, not one account.
+    A fixed point: all settlements are searched at once, each on the rows of its window that no earlier one takes in the turn
+    before; those whose rows change by that are searched again. A turn makes at least one more settlement of every chain final,
+    so the end is the sequential result, and no chain or account is ever one task's work: a group is one settlement's window.
+    Settlements rarely contend, so a few turns do. Without settlements or card rows the result is empty.
     """
-    eps = Decimal(epsilon)
-    s = df.filter("tx_type = 'card_settlement'").select("account_label", "id", "date")
-    w = Window.partitionBy("account_label").orderBy("date", "id")
-    apart = F.datediff("date", F.lag("date").over(w)) > WINDOW_BACK + WINDOW_AHEAD
-    chains = s.withColumn("chain", F.sum(F.when(apart, 1).otherwise(0)).over(w)).select(F.col("id").alias("c_id"), "chain")
-    rows = settlement_windows(df).join(chains, F.col("settlement_id") == F.col("c_id")).select("s_account", "chain", "settlement_id", "s_date", "target", "id", "date", "value")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (day, sid), g in sorted(pdf.groupby(["s_date", "settlement_id"]), key=lambda x: x[0]):
-            near = sorted((d, i, v) for d, i, v in zip(g["date"], g["id"], g["value"], strict=True) if i not in used)
-            target = g["target"].iloc[0]
-            hit, method, pool = _run(near, target, eps), "sliding_window", near
-            if hit is None:
-                before, after = [x for x in near if x[0] < day], [x for x in near if x[0] >= day]
-                pool = before[-EDGE:] + after[:EDGE]
-                hit, method = _subset([x[2] for x in pool], target, eps), "subset_sum"
-            if hit is not None:
-                ids = [pool[i][1] for i in hit]
-                used.update(ids)
-                out.append((sid, ids, method))
-        return pd.DataFrame(out, columns=["settlement_id", "matched_ids", "method"])
-
-    return rows.groupBy("s_account", "chain").applyInPandas(one, "settlement_id string, matched_ids array<string>, method string")
-
-
+    space = Workspace(df.sparkSession, "settle")
+    pairs = space.save(settlement_windows(df, scope, links).withColumn("turn", F.struct("s_date", "settlement_id")), "windows")
+    found = space.save(_each_settled(pairs, epsilon), "found0")
+    blocked = pairs.select("settlement_id", "id").limit(0)
+    turn = 0
+    while True:
+        turn += 1
+        order = pairs.select("settlement_id", "turn").distinct()
+        takers = found.join(order, "settlement_id").select(F.explode("matched_ids").alias("id"), F.col("turn").alias("by")).groupBy("id").agg(F.min("by").alias("by"))
+        now = space.save(pairs.join(takers, "id").filter(F.col("by") < F.col("turn")).select("settlement_id", "id"), f"blocked{turn}")
+        changed = space.save(now.exceptAll(blocked).unionByName(blocked.exceptAll(now)).select("settlement_id").distinct(), f"changed{turn}")
+        if changed.isEmpty():
+            return found.select("settlement_id", "matched_ids", "method")
+        again = pairs.join(changed, "settlement_id", "left_semi").join(now, ["settlement_id", "id"], "left_anti")
+        found = space.save(found.join(changed, "settlement_id", "left_anti").unionByName(_each_settled(again, epsilon)), f"found{turn}")
+        blocked = now

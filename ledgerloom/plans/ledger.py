@@ -59,7 +59,7 @@ _UNION = " UNION ALL ".join(f"SELECT {_COLUMNS} FROM {name}" for name in _PARTS)
 _TEXT = f"{_CTES}, ledger AS ({_UNION})"
 
 #: For oracles: common table expressions that end with ``ledger``.
-LEDGER_SQL = _TEXT.format(**{t: t for t in TABLES})
+LEDGER_SQL = f"{_CTES}, ledger AS MATERIALIZED ({_UNION})".format(**{t: t for t in TABLES})
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,13 +36,13 @@ def jn_acct_pairs(spark: S, sf: str) -> D:
     return op.duplicate_account_pairs(ledger(spark, sf))
 
 
-@query(oracle("SELECT id FROM ledger WHERE batch_id = 3 AND id NOT IN (SELECT id FROM ledger WHERE account_label IN ('ACC-1', 'ACC-2'))"))
+@query(oracle("SELECT l.id FROM ledger l LEFT JOIN (SELECT DISTINCT id FROM ledger WHERE account_label IN ('ACC-1', 'ACC-2')) e ON l.id = e.id WHERE batch_id = 3 AND e.id IS NULL"))
 def jn_existing_anti(spark: S, sf: str) -> D:
     df = ledger(spark, sf)
     return df.filter("batch_id = 3").select("id").join(df.filter("account_label in ('ACC-1', 'ACC-2')").select("id"), "id", "left_anti")
 
 
-@query(oracle("SELECT id FROM ledger WHERE batch_id = 3 AND id IN (SELECT id FROM ledger WHERE account_label IN ('ACC-1', 'ACC-2'))"))
+@query(oracle("SELECT l.id FROM ledger l JOIN (SELECT DISTINCT id FROM ledger WHERE account_label IN ('ACC-1', 'ACC-2')) e ON l.id = e.id WHERE batch_id = 3"))
 def src_exists_ids(spark: S, sf: str) -> D:
     df = ledger(spark, sf)
     return df.filter("batch_id = 3").select("id").join(df.filter("account_label in ('ACC-1', 'ACC-2')").select("id"), "id", "left_semi")
@@ -56,9 +56,10 @@ def src_other_files(spark: S, sf: str) -> D:
 
 
 _CAND = """
-m AS (SELECT *, CAST(round(amount * 100) AS BIGINT) AS c FROM ledger WHERE coalesce(tx_type, '') NOT IN ('card_settlement', 'aggregate_debit')),
+m AS (SELECT id, date, amount, account_label, tx_type, CAST(round(amount * 100) AS BIGINT) AS c FROM ledger WHERE coalesce(tx_type, '') NOT IN ('card_settlement', 'aggregate_debit')),
+o AS (SELECT *, unnest([-c - 1, -c, -c + 1]) AS k FROM m WHERE amount < 0),
 p AS (SELECT o.id AS out_id, i.id AS in_id, abs(o.date - i.date) AS days, coalesce(o.tx_type = 'internal_out', FALSE) AS om, coalesce(i.tx_type = 'internal_in', FALSE) AS im
-  FROM m o JOIN m i ON i.c BETWEEN -o.c - 1 AND -o.c + 1 AND o.amount < 0 AND i.amount > 0 AND o.account_label <> i.account_label AND abs(o.date - i.date) <= 5 AND abs(o.amount + i.amount) <= 0.01),
+  FROM o JOIN m i ON i.c = o.k WHERE i.amount > 0 AND o.account_label <> i.account_label AND abs(o.date - i.date) <= 5 AND abs(o.amount + i.amount) <= 0.01),
 cand AS (SELECT out_id, in_id, CASE WHEN om AND im THEN 'high' WHEN om OR im THEN 'medium' ELSE 'low' END AS confidence, CAST(days AS INT) AS days FROM p WHERE om OR im OR days <= 1)"""
 
 
@@ -67,7 +68,7 @@ def transfer_candidates(spark: S, sf: str) -> D:
     return matching.transfer_candidates(ledger(spark, sf))
 
 
-@query(oracle("SELECT * FROM cand WHERE out_id IN (SELECT id FROM ledger WHERE batch_id < 4) OR in_id IN (SELECT id FROM ledger WHERE batch_id < 4)", _CAND))
+@query(oracle("SELECT DISTINCT cand.* FROM cand JOIN (SELECT DISTINCT id FROM ledger WHERE batch_id < 4) n ON n.id = out_id UNION SELECT DISTINCT cand.* FROM cand JOIN (SELECT DISTINCT id FROM ledger WHERE batch_id < 4) n ON n.id = in_id", _CAND))
 def jn_transfer_new(spark: S, sf: str) -> D:
     """Candidates of which one side is new."""
     df = ledger(spark, sf)
@@ -111,7 +112,12 @@ def jn_destination(spark: S, sf: str) -> D:
     return df.join(F.broadcast(dimension(spark, "destination_answers")), "dest_key").select("id", "dest_key", "answer")
 
 
-@query(oracle("SELECT n.id, s.id AS saved_id FROM ledger n JOIN ledger s ON n.source_file = 'file-again.csv' AND s.source_file <> 'file-again.csv' AND lower(n.account_label) = lower(s.account_label) AND n.date = s.date AND n.amount = s.amount AND len(list_intersect(list_filter(string_split(n.raw_description, ' '), lambda w: length(regexp_replace(w, '[^A-Z]', '', 'g')) >= 4), string_split(s.raw_description, ' '))) > 0"), "jn_twin_candidates")
+_TWIN = """
+k AS (SELECT id, source_file = 'file-again.csv' AS again, lower(account_label) AS a, date AS d, amount AS m, raw_description AS t, string_split(raw_description, ' ') AS ws FROM ledger),
+tw AS (SELECT *, unnest(list_filter(ws, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 4)) AS word FROM k)"""
+
+
+@query(oracle("SELECT DISTINCT n.id, s.id AS saved_id FROM tw n JOIN tw s ON n.a = s.a AND n.d = s.d AND n.m = s.m AND n.word = s.word WHERE n.again AND NOT s.again", _TWIN), "jn_twin_candidates")
 def twin_candidates(spark: S, sf: str) -> D:
     df = ledger(spark, sf)
     return matching.twin_candidates(df.filter("source_file = 'file-again.csv'"), df.filter("source_file <> 'file-again.csv'"))
@@ -134,21 +140,21 @@ def jn_card_window(spark: S, sf: str) -> D:
 
 
 def _cards(spark: S, sf: str) -> D:
-    """Card rows by order, and one settlement per order with their sum, ten days after the last of them."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").cast("decimal(18,4)").alias("v"))
-    part = line.filter("l_orderkey % 5 = 0")
-    rows = part.select(F.concat_ws("-", F.lit("c"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("v") * 100).cast("long")).alias("id"), F.concat(F.lit("K-"), F.col("l_orderkey").cast("string")).alias("account_label"), "date", (-F.col("v")).alias("amount"), F.lit("card_tx").alias("tx_type"), F.lit(False).alias("reconciled"))
-    s = part.groupBy("l_orderkey").agg(F.date_add(F.max("date"), 3).alias("date"), F.sum("v").cast("decimal(18,4)").alias("v"))
-    return rows.unionByName(s.select(F.concat(F.lit("z-"), F.col("l_orderkey").cast("string")).alias("id"), F.concat(F.lit("K-"), F.col("l_orderkey").cast("string")).alias("account_label"), "date", (-F.col("v")).alias("amount"), F.lit("card_settlement").alias("tx_type"), F.lit(False).alias("reconciled")))
+    """Card rows of all orders, a customer's on one account, and one settlement an order with its sum, three days after the last of them."""
+    owner = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("K-"), F.col("o_custkey").cast("string")).alias("account_label"))
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").cast("decimal(18,4)").alias("v")).join(owner, "l_orderkey")
+    rows = line.select(F.concat_ws("-", F.lit("c"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("v") * 100).cast("long")).alias("id"), "account_label", "date", (-F.col("v")).alias("amount"), F.lit("card_tx").alias("tx_type"), F.lit(False).alias("reconciled"))
+    s = line.groupBy("l_orderkey", "account_label").agg(F.date_add(F.max("date"), 3).alias("date"), F.sum("v").cast("decimal(18,4)").alias("v"))
+    return rows.unionByName(s.select(F.concat_ws("-", F.lit("z"), "l_orderkey", "account_label").alias("id"), "account_label", "date", (-F.col("v")).alias("amount"), F.lit("card_settlement").alias("tx_type"), F.lit(False).alias("reconciled")))
 
 
-_CARD_ROWS = """r AS (SELECT l_orderkey AS o, concat('z-', l_orderkey) AS settlement_id, CAST(l_shipdate AS DATE) AS date, concat_ws('-', 'c', l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(l_extendedprice AS DECIMAL(18,4)) AS v FROM lineitem WHERE l_orderkey % 5 = 0),
-s AS (SELECT o, max(date) + 3 AS s_date, sum(v) AS target FROM r GROUP BY o),
-x AS (SELECT r.*, target, row_number() OVER (PARTITION BY r.o ORDER BY date, id) AS i, sum(v) OVER (PARTITION BY r.o ORDER BY date, id) AS run, date - lag(date) OVER (PARTITION BY r.o ORDER BY date, id) > 5 AS gap FROM r JOIN s USING (o) WHERE date BETWEEN s_date - 45 AND s_date + 7),
-y AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY date, id) AS island FROM x)"""
+_CARD_ROWS = """r AS (SELECT l_orderkey AS o, concat('K-', o_custkey) AS account, CAST(l_shipdate AS DATE) AS date, concat_ws('-', 'c', l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(l_extendedprice AS DECIMAL(18,4)) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT concat_ws('-', 'z', o, account) AS settlement_id, account, max(date) + 3 AS s_date, sum(v) AS target FROM r GROUP BY o, account),
+x AS (SELECT r.*, settlement_id, target, row_number() OVER w AS i, sum(v) OVER w AS run, date - lag(date) OVER w > 5 AS gap FROM r JOIN s ON r.account = s.account WHERE date BETWEEN s_date - 45 AND s_date + 7 WINDOW w AS (PARTITION BY settlement_id ORDER BY date, id)),
+y AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY settlement_id ORDER BY date, id) AS island FROM x)"""
 
 
-@query(oracle("SELECT a.settlement_id, min(struct_pack(f := a.i, l := b.i)).f::INT AS first, min(struct_pack(f := a.i, l := b.i)).l::INT AS last FROM y a JOIN y b ON a.o = b.o AND a.island = b.island AND b.i >= a.i AND abs(b.run - a.run + a.v - a.target) <= 0.01 GROUP BY 1", _CARD_ROWS))
+@query(oracle("SELECT a.settlement_id, min(struct_pack(f := a.i, l := b.i)).f::INT AS first, min(struct_pack(f := a.i, l := b.i)).l::INT AS last FROM y a JOIN y b ON a.settlement_id = b.settlement_id AND a.island = b.island AND b.i >= a.i AND abs(b.run - a.run + a.v - a.target) <= 0.01 GROUP BY 1", _CARD_ROWS))
 def jn_card_sliding(spark: S, sf: str) -> D:
     return matching.sliding_matches(matching.settlement_windows(_cards(spark, sf))).select("settlement_id", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
 
@@ -223,11 +229,11 @@ def jn_brand_tax(spark: S, sf: str) -> D:
     return op.brand_category(ledger(spark, sf), dimension(spark, "brands"), dimension(spark, "brand_taxonomy"), "IT").select("id", "brand_category")
 
 
-_RECEIPTS = "rc AS (SELECT l_orderkey * 10 + l_linenumber AS receipt_id, min(CAST(l_shipdate AS DATE) - CAST(l_orderkey % 6 AS INT)) AS day, min(l_extendedprice) AS value FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1)"
+_RECEIPTS = "rc AS (SELECT l_orderkey * 10 + l_linenumber AS receipt_id, min(CAST(l_shipdate AS DATE) - CAST(l_orderkey % 6 AS INT)) AS day, min(l_extendedprice) AS value FROM lineitem GROUP BY 1)"
 
 
 def _receipts(spark: S, sf: str) -> D:
-    df = table(spark, sf, "lineitem").filter("l_orderkey % 50 = 0")
+    df = table(spark, sf, "lineitem")
     return df.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("receipt_id")).agg(F.min(F.expr("date_sub(cast(l_shipdate as date), cast(l_orderkey % 6 as int))")).alias("day"), F.min("l_extendedprice").alias("value"))
 
 
@@ -261,10 +267,10 @@ def jn_bench_outer(spark: S, sf: str) -> D:
 
 @query()
 def jn_reverse_match(spark: S, sf: str) -> D:
-    """Names assigned to the texts of a file that hold them, best first."""
-    p = table(spark, sf, "part")
-    names = p.filter("p_partkey < 40").select(F.col("p_partkey").alias("name_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    return matching.best_containment(names, p.filter("p_partkey between 20 and 80").select(F.col("p_partkey").alias("input_id"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("text")))
+    """Names of all parts assigned to the texts of their file (forty parts each) that hold them, best first."""
+    p = table(spark, sf, "part").withColumn("file", F.floor(F.col("p_partkey") / 40))
+    names = p.select(F.col("p_partkey").alias("name_id"), "file", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    return matching.best_containment(names, p.select(F.col("p_partkey").alias("input_id"), "file", F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("text")), scope=("file",))
 
 
 @query(oracle("SELECT rule_id, CAST(count(DISTINCT d.description) AS BIGINT) AS texts, count(DISTINCT d.description) > 1 AS generalizes FROM rules r JOIN (SELECT DISTINCT description FROM ledger) d ON match_type = 'starts_with' AND starts_with(lower(d.description), lower(pattern)) GROUP BY rule_id", dims=("rules",)))
