@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import exact_key
 from ..storage import broadcast_if_small
-from .filters import direction
+from ..types import ALWAYS_DROPPED, NEVER_COUNTED
+from .filters import direction, unchecked
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -71,13 +72,43 @@ def brand_category(df: DataFrame, brands: DataFrame, tags: DataFrame, country: s
     return brand(df, brands, country).join(t, (F.col("tag") == F.col("t_tag")) & F.col("scope").isin(0, 2), "left").drop("t_tag", "brand_idx")
 
 
-def nearest_expense(receipts: DataFrame, movements: DataFrame, days: int = 4) -> DataFrame:
-    """(receipt_id, id, gap): the movement of the same amount nearest in days, then earliest, then by id. Buckets of ``days`` + 1."""
+def nearest_movement(receipts: DataFrame, movements: DataFrame, days: int = 4) -> DataFrame:
+    """(receipt_id, id, gap): the movement of the same amount, whatever its sign, nearest in days, then earliest, then by id.
+
+    Buckets of ``days`` + 1 are an equi-join. Receipts or movements without a day or amount match nothing.
+    """
     width = days + 1
     bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
-    c = lambda a: F.round(a * 100).cast("long")
+    c = lambda a: F.round(F.abs(a) * 100).cast("long")
     r = receipts.select("receipt_id", F.col("day").alias("r_day"), c(F.col("value")).alias("r_c")).withColumn("b", F.explode(F.array(bucket(F.col("r_day")) - 1, bucket(F.col("r_day")), bucket(F.col("r_day")) + 1)))
-    m = movements.filter("amount < 0").select("id", F.col("date").alias("m_day"), c(-F.col("amount")).alias("m_c"), bucket(F.col("date")).alias("m_b"))
+    m = movements.select("id", F.col("date").alias("m_day"), c(F.col("amount")).alias("m_c"), bucket(F.col("date")).alias("m_b"))
     gap = F.abs(F.datediff("r_day", "m_day"))
     met = r.join(m, (F.col("r_c") == F.col("m_c")) & (F.col("b") == F.col("m_b"))).filter(gap <= days).withColumn("gap", gap)
     return met.groupBy("receipt_id").agg(F.min(F.struct("gap", "m_day", "id")).alias("n")).select("receipt_id", "n.id", "n.gap")
+
+
+def nearest_expense(receipts: DataFrame, movements: DataFrame, days: int = 4) -> DataFrame:
+    """``nearest_movement`` among the outflows."""
+    return nearest_movement(receipts, movements.filter("amount < 0"), days)
+
+
+def receipt_matches(receipts: DataFrame, movements: DataFrame, links: DataFrame, cash_account: str | None = None, days: int = 4) -> DataFrame:
+    """(receipt_id, kind, id, gap): for each waiting receipt (receipt_id, kind, day, value) the nearest unchecked movement.
+
+    An expense looks among the counted outflows, a refund among the counted inflows, a withdrawal among the outflows of accounts
+    other than the cash one, transfers included that are in no row of links (out_id). A movement without a type counts; a null
+    kind is an expense.
+    """
+    typed = lambda *types: ~F.coalesce(F.col("tx_type").isin(*types), F.lit(False))
+    open_rows = unchecked(movements)
+    counted = open_rows.filter(typed(*NEVER_COUNTED))
+    elsewhere = open_rows.filter((F.col("amount") < 0) & typed(*ALWAYS_DROPPED, "internal_in"))
+    if cash_account is not None:
+        elsewhere = elsewhere.filter(~F.col("account_label").eqNullSafe(F.lit(cash_account)))
+    elsewhere = elsewhere.join(links.select(F.col("out_id").alias("id")), "id", "left_anti")
+    kind = F.coalesce("kind", F.lit("expense"))
+    found = None
+    for name, pool in (("expense", counted.filter("amount < 0")), ("refund", counted.filter("amount > 0")), ("withdrawal", elsewhere)):
+        some = nearest_movement(receipts.filter(kind == name), pool, days).select("receipt_id", F.lit(name).alias("kind"), "id", "gap")
+        found = some if found is None else found.unionByName(some)
+    return found

@@ -245,10 +245,22 @@ def jn_nearest_expense(spark: S, sf: str) -> D:
     return op.nearest_expense(_receipts(spark, sf), ledger(spark, sf))
 
 
-@query(oracle(f"SELECT receipt_id, id FROM ({_NEAR.replace('ON l.amount < 0', 'ON l.amount < 0 AND NOT coalesce(l.human_validated, FALSE) AND l.tx_type <> ' + chr(39) + 'internal_out' + chr(39))})", _RECEIPTS))
+_KINDS = """rk AS (SELECT *, CASE receipt_id % 10 WHEN 2 THEN 'withdrawal' WHEN 3 THEN 'withdrawal' ELSE 'expense' END AS kind FROM rc
+  UNION ALL SELECT -o_orderkey, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 AS INT), o_totalprice, 'refund' FROM orders),
+free AS (SELECT *, coalesce(tx_type, '') AS t, CAST(round(abs(amount) * 100) AS BIGINT) AS cents FROM ledger WHERE NOT coalesce(human_validated, FALSE)),
+pool AS (SELECT 'expense' AS kind, * FROM free WHERE amount < 0 AND t NOT IN ('internal_out', 'internal_in', 'card_settlement', 'aggregate_debit')
+  UNION ALL SELECT 'refund', * FROM free WHERE amount > 0 AND t NOT IN ('internal_out', 'internal_in', 'card_settlement', 'aggregate_debit')
+  UNION ALL SELECT 'withdrawal', * FROM free WHERE amount < 0 AND t NOT IN ('internal_in', 'card_settlement', 'aggregate_debit') AND account_label <> 'ACC-6' AND NOT (t = 'internal_out' AND batch_id < 10))"""
+
+
+@query(oracle("SELECT receipt_id, kind, id, CAST(abs(day - date) AS INT) AS gap FROM rk JOIN pool USING (kind) WHERE cents = CAST(round(value * 100) AS BIGINT) AND abs(day - date) <= 4 QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY abs(day - date), date, id) = 1", f"{_RECEIPTS}, {_KINDS}"))
 def jn_receipts(spark: S, sf: str) -> D:
-    df = flt.unchecked(ledger(spark, sf)).filter("tx_type <> 'internal_out'")
-    return op.nearest_expense(_receipts(spark, sf), df).select("receipt_id", "id")
+    """Receipts of line items as expenses or withdrawals, those of orders as refunds."""
+    df = ledger(spark, sf)
+    spent = _receipts(spark, sf).withColumn("kind", F.when((F.col("receipt_id") % 10).isin(2, 3), "withdrawal").otherwise("expense"))
+    back = table(spark, sf, "orders").select((-F.col("o_orderkey")).alias("receipt_id"), F.expr("date_add(cast(o_orderdate as date), cast(o_orderkey % 6 as int))").alias("day"), F.col("o_totalprice").alias("value"), F.lit("refund").alias("kind"))
+    links = df.filter("tx_type = 'internal_out' and batch_id < 10").select(F.col("id").alias("out_id"))
+    return op.receipt_matches(spent.unionByName(back), df, links, "ACC-6")
 
 
 @query(oracle("SELECT DISTINCT lower(description) AS key FROM ledger WHERE amount > 0 AND lower(description) IN (SELECT lower(description) FROM ledger WHERE amount < 0)"))
