@@ -117,7 +117,7 @@ def features(docs: DataFrame, space: Workspace) -> DataFrame:
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"),
         F.col("doc_id").alias("id"), held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id").alias("h"), F.monotonically_increasing_id().alias("n"),
     )
-    schema = read.select("id", "held_out", "h", "n").schema.add("t", "array<float>").add("m", "array<int>")
+    schema = read.select("id", "held_out", "h", "n").schema.add("t", T.ArrayType(T.FloatType())).add("m", T.ArrayType(T.IntegerType()))
     return space.save(read.mapInArrow(_features, schema), "features")
 
 
