@@ -164,11 +164,11 @@ def agg_known_cat(spark: S, sf: str) -> D:
     return best.select("key", "direction", "b.category", "b.subcategory")
 
 
-@query(oracle("SELECT regexp_replace(lower(raw_description), ' [0-9]+$', '') AS signature, min(struct_pack(c := created_at, i := id, d := description)).d AS description FROM ledger WHERE raw_description NOT LIKE 'TRANSFER%' AND raw_description NOT LIKE '% MILANO' GROUP BY 1"))
+@query(oracle("SELECT trim(regexp_replace(lower(raw_description), '\\S*[0-9]\\S*\\s*', '', 'g')) AS signature, min(struct_pack(c := created_at, i := id, d := description)).d AS description FROM ledger GROUP BY 1"))
 def agg_known_sig(spark: S, sf: str) -> D:
     from ..functions.text import raw_signature
 
-    df = ledger(spark, sf).filter("raw_description not like 'TRANSFER%' and raw_description not like '% MILANO'")
+    df = ledger(spark, sf)
     return df.groupBy(raw_signature("raw_description").alias("signature")).agg(F.min_by("description", F.struct("created_at", "id")).alias("description"))
 
 

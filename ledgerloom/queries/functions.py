@@ -93,12 +93,21 @@ def fn_containment(spark: S, sf: str) -> D:
     return table(spark, sf, "part").select("p_partkey", tx.containment(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_name", "p_brand")).alias("score"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4,30}\b', '<ACCOUNT_ID>', 'g'), '\b[0-9]{4}[\t\n\v\f\r \-]?[0-9]{4}[\t\n\v\f\r \-]?[0-9]{4}[\t\n\v\f\r \-]?[0-9]{1,7}\b', '<CARD_ID>', 'g'), '[\*X]{4}[\t\n\v\f\r \-]?[0-9]{4}', '<CARD_ID>', 'g')) AS redacted FROM documents""")
+_SPACE = r"[\t\n\v\f\r ]"
+_REDACTED = "coalesce(text, '')"
+for _p, _mark in (
+    (r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4,30}\b", "<ACCOUNT_ID>"),
+    (rf"\b[0-9]{{4}}({_SPACE}|-)?[0-9]{{4}}({_SPACE}|-)?[0-9]{{4}}({_SPACE}|-)?[0-9]{{1,7}}\b", "<CARD_ID>"),
+    (rf"[\*X]{{4}}({_SPACE}|-)?[0-9]{{4}}", "<CARD_ID>"),
+    (rf"(?i)\b(CAU|NDS|POS|TRN|CRO|RIF|ID{_SPACE}*TRANSAZIONE){_SPACE}*[0-9\-]+", "<TX_CODE>"),
+    (r"(?i)\b[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", "<FISCAL_ID>"),
+):
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_p}', '{_mark}', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_REDACTED}) AS redacted FROM documents")
 def fn_redact(spark: S, sf: str) -> D:
-    """Account and card numbers of whole texts; the other patterns are covered by tests."""
-    s = F.coalesce("text", F.lit(""))
-    for pattern, mark in tx.REDACTIONS[:3]:
-        s = F.regexp_replace(s, pattern, mark)
+    s = tx.redact("text")
     return table(spark, sf, "documents").select("doc_id", F.sha2(s, 256).alias("redacted"))
 
 

@@ -188,17 +188,17 @@ def jn_known_cat(spark: S, sf: str) -> D:
     return df.filter("category is null").join(known, "key").select("id", F.col("known").alias("category"))
 
 
-@query(oracle("SELECT l.id, k.d AS description FROM ledger l JOIN (SELECT regexp_replace(lower(raw_description), ' [0-9]+$', '') AS s, min(struct_pack(c := created_at, i := id, d := description)).d AS d FROM ledger WHERE batch_id < 10 AND raw_description NOT LIKE 'TRANSFER%' AND raw_description NOT LIKE '% MILANO' GROUP BY 1) k ON regexp_replace(lower(l.raw_description), ' [0-9]+$', '') = k.s WHERE l.batch_id >= 10 AND l.raw_description NOT LIKE '% MILANO'"))
+@query(oracle("SELECT l.id, k.d AS description FROM ledger l JOIN (SELECT trim(regexp_replace(lower(raw_description), '\\S*[0-9]\\S*\\s*', '', 'g')) AS s, min(struct_pack(c := created_at, i := id, d := description)).d AS d FROM ledger WHERE batch_id < 10 GROUP BY 1) k ON trim(regexp_replace(lower(l.raw_description), '\\S*[0-9]\\S*\\s*', '', 'g')) = k.s WHERE l.batch_id >= 10"))
 def jn_known_sig(spark: S, sf: str) -> D:
-    df = ledger(spark, sf).filter("raw_description not like '% MILANO'").withColumn("s", tx.raw_signature("raw_description"))
-    known = df.filter("batch_id < 10 and raw_description not like 'TRANSFER%'").groupBy("s").agg(F.min_by("description", F.struct("created_at", "id")).alias("known"))
+    df = ledger(spark, sf).withColumn("s", tx.raw_signature("raw_description"))
+    known = df.filter("batch_id < 10").groupBy("s").agg(F.min_by("description", F.struct("created_at", "id")).alias("known"))
     return df.filter("batch_id >= 10").join(F.broadcast(known) if known.limit(100_001).count() <= 100_000 else known, "s").select("id", F.col("known").alias("description"))
 
 
-@query(oracle("SELECT l.id, coalesce(a.n, b.n) AS name FROM (SELECT *, regexp_replace(lower(raw_description), ' [0-9]+$', '') AS s FROM ledger WHERE raw_description NOT LIKE '% MILANO' AND raw_description NOT LIKE 'TRANSFER%') l LEFT JOIN (SELECT DISTINCT ON (s, amount) regexp_replace(lower(raw_description), ' [0-9]+$', '') AS s, amount, 'exact' AS n FROM ledger WHERE category_source = 'manual' AND raw_description NOT LIKE '% MILANO' AND raw_description NOT LIKE 'TRANSFER%' AND batch_id = 1) a ON l.s = a.s AND l.amount = a.amount LEFT JOIN (SELECT DISTINCT regexp_replace(lower(raw_description), ' [0-9]+$', '') AS s, amount < 0 AS o, 'direction' AS n FROM ledger WHERE batch_id = 2 AND raw_description NOT LIKE '% MILANO' AND raw_description NOT LIKE 'TRANSFER%') b ON l.s = b.s AND (l.amount < 0) = b.o WHERE coalesce(a.n, b.n) IS NOT NULL"))
+@query(oracle("SELECT l.id, coalesce(a.n, b.n) AS name FROM (SELECT *, trim(regexp_replace(lower(raw_description), '\\S*[0-9]\\S*\\s*', '', 'g')) AS s FROM ledger) l LEFT JOIN (SELECT DISTINCT ON (s, amount) trim(regexp_replace(lower(raw_description), '\\S*[0-9]\\S*\\s*', '', 'g')) AS s, amount, 'exact' AS n FROM ledger WHERE category_source = 'manual' AND batch_id = 1) a ON l.s = a.s AND l.amount = a.amount LEFT JOIN (SELECT DISTINCT trim(regexp_replace(lower(raw_description), '\\S*[0-9]\\S*\\s*', '', 'g')) AS s, amount < 0 AS o, 'direction' AS n FROM ledger WHERE batch_id = 2) b ON l.s = b.s AND (l.amount < 0) = b.o WHERE coalesce(a.n, b.n) IS NOT NULL"))
 def jn_own_name(spark: S, sf: str) -> D:
     """A name for (signature, exact amount) first, then one for (signature, direction)."""
-    df = ledger(spark, sf).filter("raw_description not like '% MILANO' and raw_description not like 'TRANSFER%'").withColumn("k1", tx.own_name_key("raw_description", F.col("amount"))).withColumn("k2", tx.own_name_direction_key("raw_description", F.col("amount")))
+    df = ledger(spark, sf).withColumn("k1", tx.own_name_key("raw_description", F.col("amount"))).withColumn("k2", tx.own_name_direction_key("raw_description", F.col("amount")))
     exact = df.filter("category_source = 'manual' and batch_id = 1 and k1 is not null").select("k1", F.lit("exact").alias("n1")).distinct()
     wide = df.filter("batch_id = 2 and k2 is not null").select("k2", F.lit("direction").alias("n2")).distinct()
     return df.join(exact, "k1", "left").join(wide, "k2", "left").select("id", F.coalesce("n1", "n2").alias("name")).filter("name is not null")
