@@ -60,8 +60,8 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Data
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_hot(rows: DataFrame, side: DataFrame, key: str, side_key: str, count: str, total: int, most: int = 50_000) -> DataFrame:
-    """Inner join of rows with side, which has one row a key and, in ``count``, how many of the ``total`` rows have it.
+def join_hot(rows: DataFrame, side: DataFrame, key: str, side_key: str, count: str, total: int, most: int = 50_000, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with side, which has one row a key and, in ``count``, how many of the ``total`` rows have it.
 
     Keys of more than a ``most``-th of all rows, of which there are at most as many, are broadcast, so that a hot key's rows
     stay in the tasks they are in; the rest is a shuffled join without a hot key.
@@ -70,7 +70,7 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, side_key: str, count: s
     cold = side.filter(F.col(count) <= total // most + 1_000)
     keys = F.broadcast(hot.select(F.col(side_key).alias("__hot_key")))
     meets = F.col(key) == F.col(side_key)
-    return rows.join(F.broadcast(hot), meets).unionByName(rows.join(keys, F.col(key) == F.col("__hot_key"), "left_anti").join(cold, meets))
+    return rows.join(F.broadcast(hot), meets).unionByName(rows.join(keys, F.col(key) == F.col("__hot_key"), "left_anti").join(cold, meets, how))
 
 
 def with_locator(docs: DataFrame, space: Workspace, file: str = "__ll_file", row: str = "__ll_row") -> DataFrame:

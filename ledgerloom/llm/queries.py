@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotrain, exact_dedup, mixing, nbest, pii, quality_rules, simhash, toxicity, warc
+from . import chat_format, cotrain, exact_dedup, filter_audit, mixing, nbest, pii, quality_rules, simhash, toxicity, warc
 from .common import Workspace, table, with_locator
 
 
@@ -64,9 +64,14 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "filter-audit"))
+
+
 _ALL = (
     op1_quality_rules, op2_chat_format, op3_simhash_near_dedup, op4_quality_cotraining, op5_exact_dedup, op6_pii_semi_crf,
     op7_toxicity_noisy_channel, op8_warc_split_reader, op9_mixing_sources, op10_sentencepiece_nbest,
+    op11_filter_audit,
 )
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -112,6 +117,25 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace
 k AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM k"""
 
+#: Every order is played out on the histogram of failed filters; Shapley sums are what a filter removes in all of them.
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
+h AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || g.c || i.c || e.c AS filter_order FROM x a, x b, x g, x i, x e WHERE len(list_distinct([a.c, b.c, g.c, i.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS c FROM o, unnest(range(1, 6)) AS r(step)),
+p AS (SELECT *, list_min(list_transform(string_split(fails, ''), lambda z: instr(filter_order, z))) AS first_ FROM h, s),
+q AS (SELECT *, CASE WHEN fails = '' THEN 9 ELSE first_ END AS at_ FROM p),
+r AS (SELECT part, filter_order, step, c, sum(CASE WHEN at_ > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN at_ = step THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN contains(fails, c) AND at_ < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = c THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN at_ = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN at_ = step THEN toxic ELSE 0 END) AS toxic_lost FROM q GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r"""
+
 
 def quality_base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures of op1 alone, which SQL can express."""
@@ -123,4 +147,4 @@ def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"quality_base_measures": _BASE, "op2_chat_format": _CHAT, "op5_exact_dedup": _EXACT, "op8_warc_split_reader": _WARC}
+    return {"quality_base_measures": _BASE, "op2_chat_format": _CHAT, "op5_exact_dedup": _EXACT, "op8_warc_split_reader": _WARC, "op11_filter_audit": _AUDIT}
