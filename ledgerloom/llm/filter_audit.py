@@ -9,8 +9,8 @@ orders of a document with k failed filters, each of the k comes first of them in
 
 Scale. Text is read once and never moves. Whether a text has an equal of a smaller id is decided on digests: per-digest minima with
 partial aggregation, of which only those that occur more than once go back to the documents (see ``join_hot``). Labels meet
-masks, not texts. The sums are 96 columns of one partial aggregation, a row per part and task, so a part with a third of all
-rows is no hot key. What follows has a row per part.
+masks, not texts. The sums are a partial aggregation, 32 rows per part and task, so a part with a third of all rows is no
+hot key. What follows has 32 rows per part.
 
 Defined results. Null text is the empty text, null language the empty part; so an empty text and a null one are equal texts.
 A document without an id is equal to no smaller one and makes none of the others larger; it has no labels. Rows that repeat
@@ -76,23 +76,20 @@ def parity(bits: Column) -> Column:
 
 
 def parity_sums(marked: DataFrame) -> DataFrame:
-    """One row per part: n_0 .. n_31 and the same of good and toxic documents. ``marked``: part, mask, quality, toxic."""
-
-    def total(w: int, label: str | None) -> Column:
-        sign = parity(F.col("mask").bitwiseAND(w))
-        return F.coalesce(F.sum(sign if label is None else F.when(F.col(label) == 1, sign)), F.lit(0)).cast("long")
-
-    return marked.groupBy("part").agg(*[total(w, label).alias(f"{name}_{w}") for name, label in GROUPS.items() for w in range(CELLS)])
+    """(part, w, n, good, toxic): 32 signed sums per part and group. ``marked``: part, mask, quality, toxic."""
+    rows = marked.select("part", "mask", "quality", "toxic", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("w"))
+    rows = rows.withColumn("sign", parity(F.col("mask").bitwiseAND(F.col("w"))))
+    sums = {name: F.sum("sign" if label is None else F.when(F.col(label) == 1, F.col("sign")).otherwise(0)) for name, label in GROUPS.items()}
+    return rows.groupBy("part", "w").agg(*[total.alias(name) for name, total in sums.items()])
 
 
 def invert(sums: DataFrame) -> DataFrame:
-    """One row per part: arrays n, good and toxic of 32 cells each, from the parity sums."""
-
-    def cell(name: str, m: int) -> Column:
-        signed = [F.col(f"{name}_{w}") if (m & w).bit_count() % 2 == 0 else -F.col(f"{name}_{w}") for w in range(CELLS)]
-        return F.call_function("shiftright", sum(signed[1:], signed[0]), F.lit(CELLS.bit_length() - 1))  # divisible by 32
-
-    return sums.select("part", *[F.array(*[cell(name, m) for m in range(CELLS)]).alias(name) for name in GROUPS])
+    """One row per part: arrays n, good and toxic of 32 cells each, by mask, from the parity sums."""
+    rows = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("m"))
+    sign = parity(F.col("m").bitwiseAND(F.col("w")))
+    cells = rows.groupBy("part", "m").agg(*[F.shiftright(F.sum(sign * F.col(name)), CELLS.bit_length() - 1).alias(name) for name in GROUPS])  # divisible by 32
+    ordered = F.array_sort(F.collect_list(F.struct("m", *GROUPS)))  # 32 entries
+    return cells.groupBy("part").agg(ordered.alias("c")).select("part", *[F.col(f"c.{name}").alias(name) for name in GROUPS])
 
 
 def orders(cells: DataFrame) -> DataFrame:
