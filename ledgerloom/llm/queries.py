@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotrain, exact_dedup, filter_audit, mixing, nbest, pii, quality_rules, simhash, toxicity, warc
+from . import chat_format, cotrain, exact_dedup, filter_audit, mixing, nbest, pii, quality_rules, simhash, token_files, toxicity, warc
 from .common import Workspace, table, with_locator
 
 
@@ -68,10 +69,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "filter-audit"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, frequencies = token_files.write(table(spark, sf_dir, "documents"), Workspace(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(manifest, frequencies)
+
+
 _ALL = (
     op1_quality_rules, op2_chat_format, op3_simhash_near_dedup, op4_quality_cotraining, op5_exact_dedup, op6_pii_semi_crf,
     op7_toxicity_noisy_channel, op8_warc_split_reader, op9_mixing_sources, op10_sentencepiece_nbest,
-    op11_filter_audit,
+    op11_filter_audit, op12_token_files,
 )
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
