@@ -19,9 +19,9 @@ input), which also split the rows of one id. Tasks write files under names no ot
 executors leave no half files in the archive. What passes the driver: the frequency table, bounded by the vocabulary. A
 file's first id is a running sum over the manifest, a row per file.
 
-Words of a text that are cut at single spaces are encoded once per worker and remembered (twice ``MEMORY`` at most): before
-a space that something other than white space follows, the vocabulary's own rule always cuts, so the ids are those of the
-whole text. Vocabularies of another kind are applied to whole texts.
+Segments of a text are encoded once per worker and remembered (twice ``MEMORY`` at most). Segments are cut only where the
+vocabulary's own rule always cuts, such as before a single space, so their ids are those of the whole text. Vocabularies of
+another kind are applied to whole texts.
 
 Defined results. Null text is the empty text: the end id alone. Rows without an id come last; rows that repeat an id come in
 the order of their places in the input, each a document of its own. An empty table gives no files and no rows. Extra columns are
@@ -51,11 +51,11 @@ from .common import Workspace, filesystem, shuffle_partitions, with_locator
 END = 0
 #: Frequencies add up to 2^SCALE; states stay in [2^31, 2^63).
 SCALE, LOW = 20, 1 << 31
-LANES = 512
+LANES = 1024
 #: Ids of a block, once reached it is closed; ids between checkpoints; checkpoints of a unit of reading.
 BLOCK, EVERY, SPAN = 1 << 18, 1 << 17, 2
 #: Remembered segments of a worker, and the longest remembered one.
-MEMORY, LONGEST = 300_000, 48
+MEMORY, LONGEST = 400_000, 48
 #: Bytes of text that are cut at a time.
 SLICE = 8 << 20
 MAGIC = b"LLTOKEN1"
@@ -66,16 +66,23 @@ _BLOCK, _POINT, _ENTRY, _END = struct.Struct("<IQIII"), struct.Struct("<QII"), n
 
 #: Characters on which this module cuts words itself; a segment with any other goes to the library whole.
 _PLAIN = re.compile(r"[\n\t\x20-\x7EÀ-ÖØ-öø-ÿ]*")
-#: The word pattern of the vocabulary file, in terms of these characters.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+#: The word pattern of the vocabulary file, in terms of these characters; NUL ends a segment.
+_WORD = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s\x00]|_)+|\s+(?![^\s\x00])|\s+")
+#: Segments that are one word for sure.
+_SINGLE = r"^(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|[.,\n])$"
 _CUT = re.compile(r" (?=\S)")
+#: A text without any of this is ordinary: two spaces of any kind in a row, a dot or comma behind other than a plain letter or
+#: digit, NUL. The vocabulary's rule always cuts it at the places below, so that its words can be told apart by plain search.
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\pZ][\s\x0b\x1c-\x1f\x{85}\pZ]|[^0-9A-Za-zÀ-ÖØ-öø-ÿĀ-žА-я][.,]|\x00"
+_CUTS = {" ": "\x00 ", "\n": "\x00\n\x00", ".": "\x00.", ",": "\x00,"}
 
 
-def _byte_alphabet() -> list[str]:
-    """The character that stands for each byte: printable ones for themselves, the others from 256 on, in order."""
+def _byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte: printable ones for themselves, the others from 256 on, in order. NUL, which no
+    word handled here has, becomes the line feed between words."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)} | {0: "\n"}
 
 
 class Encoder:
@@ -83,7 +90,10 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        #: The same model on words that are cut and spelled in its alphabet already.
+        self.speller, self.alphabet = Tokenizer(self.tokenizer.model), _byte_alphabet()
+        self.speller.add_special_tokens(["\n"])
+        self.between = self.speller.token_to_id("\n")
         kind = json.loads(vocabulary)
         split, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
         model = kind["model"]
@@ -99,62 +109,95 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _remember(self, segment: str, make) -> bytes:
-        found = self.recent.get(segment)
-        if found is None:
-            found = self.older.get(segment)
-            if found is None:
-                found = make(segment)
-            if len(segment) <= LONGEST:
-                if len(self.recent) >= MEMORY:
-                    self.older, self.recent = self.recent, {}
-                self.recent[segment] = found
+    def _find(self, keys: list[str]) -> list[bytes | None]:
+        found = list(map(self.recent.get, keys))
+        if self.older:
+            again = {k: ids for k, ids in ((k, self.older.get(k)) for k, ids in zip(keys, found, strict=True) if ids is None) if ids is not None}
+            if again:
+                self.recent |= again
+                found = [again.get(k) if ids is None else ids for k, ids in zip(keys, found, strict=True)]
         return found
 
-    def _word(self, word: str) -> bytes:
-        spelled = word.replace(" ", "Ġ") if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
-        return self._pack([t.id for t in self.model.tokenize(spelled)])
-
-    def _make(self, segment: str) -> bytes:
-        if _PLAIN.fullmatch(segment) and not any(s in segment for s in self.special):
-            words = _WORD.findall(segment)
-            return self._word(segment) if len(words) == 1 else b"".join([self._remember(w, self._word) for w in words])
-        return self._pack(self.tokenizer.encode(segment, add_special_tokens=False).ids)
-
-    def segment(self, segment: str) -> bytes:
-        return self._remember(segment, self._make)
+    def _keep(self, keys: list[str], ids: list[bytes]) -> None:
+        self.recent.update(x for x in zip(keys, ids, strict=True) if len(x[0]) <= LONGEST)
+        if len(self.recent) >= MEMORY:
+            self.older, self.recent = self.recent, {}
+
+    def _spell(self, words: list[str]) -> list[bytes]:
+        """Ids of words that this module cut."""
+        if not words:
+            return []
+        spelled = "\x00".join([*words, ""]).encode().decode("latin-1").translate(self.alphabet)
+        found = np.array(self.speller.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.int32)
+        stops = found == self.between
+        ends = np.flatnonzero(stops)
+        ids = found[~stops].astype(self.dtype).tobytes()
+        ends = ((ends - np.arange(len(ends))) * self.dtype.itemsize).tolist()
+        made = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self._keep(words, made)
+        return made
+
+    def segments(self, wanted: list[str], words: list[bool] | None = None) -> list[bytes]:
+        """Ids of segments; those that aren't remembered are cut into words and spelled together. ``words``: which are single words."""
+        out = self._find(wanted)
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if words is not None:
+            single = [k for k in new if words[k]]
+            for k, ids in zip(single, self._spell([wanted[k] for k in single]), strict=True):
+                out[k] = ids
+            new = [k for k in new if not words[k]]
+        if not new:
+            return out
+        fresh = list({wanted[k]: None for k in new})
+        plain = [s for s in fresh if _PLAIN.fullmatch(s) and not any(x in s for x in self.special)]
+        made = {s: self._pack(self.tokenizer.encode(s, add_special_tokens=False).ids) for s in set(fresh).difference(plain)}
+        if plain:
+            cut = _WORD.findall("\x00".join([*plain, ""]))
+            different = list(set(cut) - {"\x00"})
+            known = dict(zip(different, self._find(different), strict=True))
+            missing = [w for w, ids in known.items() if ids is None]
+            known |= dict(zip(missing, self._spell(missing), strict=True))
+            known["\x00"] = None
+            parts, at = [], 0
+            for ids in map(known.__getitem__, cut):
+                if ids is None:
+                    made[plain[at]] = b"".join(parts) if len(parts) != 1 else parts[0]
+                    parts, at = [], at + 1
+                else:
+                    parts.append(ids)
+        self._keep(list(made), list(made.values()))
+        for k in new:
+            out[k] = made[wanted[k]]
+        return out
 
     def text(self, text: str) -> bytes:
         """Ids of one text, whatever its white space."""
         if not self.by_segment:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         first, *rest = _CUT.split(text)
-        return b"".join([self.segment(first), *[self.segment(" " + s) for s in rest]])
+        return b"".join(self.segments([first, *[" " + s for s in rest]]))
 
     def texts(self, texts: pa.Array) -> list[bytes]:
-        """Ids of many texts. Those in which every space is followed by something else are cut and put together as arrays."""
+        """Ids of many texts. Ordinary ones are cut and put together as arrays."""
         if not self.by_segment or not len(texts):
             return [self.text(t) for t in texts.to_pylist()]
-        parts = pc.split_pattern(texts, " ")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        others = iter([self.text(t) for t in texts.filter(pa.array(odd)).to_pylist()])
+        if odd.all():
+            return list(others)
+        ordinary = texts.filter(pa.array(~odd)) if odd.any() else texts
+        for sign, cut in _CUTS.items():
+            ordinary = pc.replace_substring(ordinary, sign, cut)
+        parts = pc.split_pattern(ordinary, "\x00")
         at = parts.offsets.to_numpy()
-        values, at = parts.flatten(), at - at[0]
-        firsts = at[:-1]
-        coded, leading = values.dictionary_encode(), values.take(pa.array(firsts)).dictionary_encode()
-        index, unique, first = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist(), leading.dictionary.to_pylist()
-        spaced = np.array([not u or u[0].isspace() for u in unique])
-        marks = spaced[index]
-        marks[firsts] = False
-        index[firsts] = len(unique) + leading.indices.to_numpy()
-        used = np.bincount(index, minlength=len(unique)) > 0
-        made = [self.segment(" " + u) if use and not odd else b"" for u, use, odd in zip(unique, used, spaced)]  # noqa: B905
-        made += [self.segment(u) for u in first]
-        flat, sizes = np.frombuffer(b"".join(made), self.dtype), np.array([len(m) for m in made]) // self.dtype.itemsize
-        begins, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1])]
-        cuts = [0, *ends[at[1:] - 1].tolist()]
-        whole = (np.add.reduceat(marks, firsts) == 0).tolist()
-        return [ids[a:b].tobytes() if ok else self.text(texts[k].as_py()) for k, (a, b, ok) in enumerate(zip(cuts, cuts[1:], whole))]  # noqa: B905
+        coded = parts.flatten().dictionary_encode()
+        single = pc.match_substring_regex(coded.dictionary, _SINGLE).to_numpy(zero_copy_only=False).tolist()
+        made = pa.array(self.segments(coded.dictionary.to_pylist(), single), pa.binary())
+        whole = made.take(coded.indices)  # in the texts' order, one after the other
+        ends, ids = np.frombuffer(whole.buffers()[1], np.int32, len(whole) + 1, whole.offset * 4), whole.buffers()[2] or pa.py_buffer(b"")
+        cuts = ends[at - at[0]].tolist()
+        found = (ids[a:b].to_pybytes() for a, b in zip(cuts, cuts[1:]))  # noqa: B905
+        return [next(others if x else found) for x in odd.tolist()]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -203,8 +246,9 @@ def counts(rows: DataFrame, size: int, dtype: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(unpack.decompress(x.as_py()), dtype), minlength=size)
+            for start in range(0, b.num_rows, 500):
+                ids = b"".join([unpack.decompress(x.as_py()) for x in b.column(0)[start : start + 500]])
+                total += np.bincount(np.frombuffer(ids, dtype), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["token", "n"])
 
