@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.errors import AnalysisException
@@ -54,6 +55,19 @@ class Workspace:
         self.drop("")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for as long as the block runs."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it is small, else df itself. df should be a written table of columns of bounded width: its
     rows are counted, at their schema's size and what a hash table adds."""

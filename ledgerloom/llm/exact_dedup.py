@@ -20,13 +20,11 @@ whatever their names.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from .common import SPACE, Workspace, broadcast_if_small, join_hot, with_locator
+from .common import SPACE, Workspace, broadcast_if_small, join_hot, settings, with_locator
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -46,18 +44,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _rank(id_col: str = "id") -> Column:
     """Orders the rows of a group: the least stays."""
     return F.struct((-F.col("n_points")).alias("shorter"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("file"), F.col("row"))
@@ -87,7 +73,7 @@ def track(spark: SparkSession, index_path: str, schema: StructType, state: str,
         if check:
             check(spark.read.schema(groups.schema).parquet(f"{out}/batch={number}"), number)
 
-    with _settings(spark, _STORE):
+    with settings(spark, _STORE):
         query = groups.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     found = _read(spark, out, groups.schema.add("batch", "long"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotrain, exact_dedup, filter_audit, mixing, nbest, pii, quality_rules, simhash, token_files, toxicity, warc
+from . import chat_format, cotrain, exact_dedup, filter_audit, hard_negatives, mixing, nbest, pii, quality_rules, simhash, token_files, toxicity, warc
 from .common import Workspace, table, with_locator
 
 
@@ -74,10 +74,16 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, frequencies)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label")), "id % 50 = 0", Workspace(spark, "hard-negatives"))
+
+
 _ALL = (
     op1_quality_rules, op2_chat_format, op3_simhash_near_dedup, op4_quality_cotraining, op5_exact_dedup, op6_pii_semi_crf,
     op7_toxicity_noisy_channel, op8_warc_split_reader, op9_mixing_sources, op10_sentencepiece_nbest,
-    op11_filter_audit, op12_token_files,
+    op11_filter_audit, op12_token_files, op13_hard_negatives,
 )
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -142,6 +148,15 @@ r AS (SELECT part, filter_order, step, c, sum(CASE WHEN at_ > step THEN n ELSE 0
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r"""
 
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score FROM v a, v r WHERE a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
 
 def quality_base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures of op1 alone, which SQL can express."""
@@ -153,4 +168,4 @@ def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"quality_base_measures": _BASE, "op2_chat_format": _CHAT, "op5_exact_dedup": _EXACT, "op8_warc_split_reader": _WARC, "op11_filter_audit": _AUDIT}
+    return {"quality_base_measures": _BASE, "op2_chat_format": _CHAT, "op5_exact_dedup": _EXACT, "op8_warc_split_reader": _WARC, "op11_filter_audit": _AUDIT, "op13_hard_negatives": _NEGATIVES}

@@ -55,9 +55,9 @@ LANES = 1024
 #: Ids of a block, once reached it is closed; ids between checkpoints; checkpoints of a unit of reading.
 BLOCK, EVERY, SPAN = 1 << 18, 1 << 17, 2
 #: Remembered segments of a worker, and the longest remembered one.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 300_000, 48
 #: Bytes of text that are cut at a time.
-SLICE = 8 << 20
+SLICE = 6 << 20
 MAGIC = b"LLTOKEN1"
 _BLOCK, _POINT, _ENTRY, _END = struct.Struct("<IQIII"), struct.Struct("<QII"), np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("first", "<u8"), ("ids", "<u8"), ("docs", "<u4"), ("points", "<u4")]), struct.Struct("<QI8s")
 
