@@ -12,12 +12,13 @@ from .common import dimension, ledger, oracle, query
 
 S, D = SparkSession, DataFrame
 _MI = "CAST(year(date) * 12 + month(date) - 1 AS INT)"
-_SPARSE = "coalesce(batch_id % 5 = 0 AND month(date) NOT IN (3, 4, 9), FALSE)"
 _TODAY = "2001-09-15"
+#: An account each for what an account spends on a category: months without rows are common among these.
+_FINE = "SELECT concat(account_label, '/', coalesce(category, '')) AS account_label, date FROM ledger"
 
 
-def _sparse(spark: S, sf: str) -> D:
-    return ledger(spark, sf).filter("batch_id % 5 = 0 and month(date) not in (3, 4, 9)")
+def _fine(spark: S, sf: str) -> D:
+    return ledger(spark, sf).select(F.concat("account_label", F.lit("/"), F.coalesce("category", F.lit(""))).alias("account_label"), "date")
 
 
 @query(oracle("SELECT date, CAST(t AS DOUBLE) AS total, CAST(sum(t) OVER (ORDER BY date) AS DOUBLE) AS running FROM (SELECT date, sum(amount) AS t FROM ledger GROUP BY date)"))
@@ -40,25 +41,26 @@ def win_check_progress(spark: S, sf: str) -> D:
     return op.check_progress(df, "key", "v_in")
 
 
-@query(oracle(f"SELECT a.account_label, CASE WHEN last IS NULL THEN 'never' WHEN k = 0 THEN 'dormant' WHEN last < now - 1 THEN 'behind' WHEN last - first_in + 1 > k THEN 'gap' ELSE 'up_to_date' END AS kind FROM (SELECT DISTINCT account_label FROM ledger WHERE {_SPARSE}) a LEFT JOIN (SELECT account_label, max(m) AS last, count(*) FILTER (m >= now - 4) AS k, min(m) FILTER (m >= now - 4) AS first_in, any_value(now) AS now FROM (SELECT DISTINCT account_label, {_MI} AS m, 2001 * 12 + 8 AS now FROM ledger WHERE {_SPARSE}) WHERE m < now GROUP BY 1) g USING (account_label)"))
+@query(oracle(f"SELECT a.account_label, CASE WHEN last IS NULL THEN 'never' WHEN k = 0 THEN 'dormant' WHEN last < now - 1 THEN 'behind' WHEN last - first_in + 1 > k THEN 'gap' ELSE 'up_to_date' END AS kind FROM (SELECT DISTINCT account_label FROM ({_FINE})) a LEFT JOIN (SELECT account_label, max(m) AS last, count(*) FILTER (m >= now - 4) AS k, min(m) FILTER (m >= now - 4) AS first_in, any_value(now) AS now FROM (SELECT DISTINCT account_label, {_MI} AS m, 2001 * 12 + 8 AS now FROM ({_FINE})) WHERE m < now GROUP BY 1) g USING (account_label)"))
 def win_gaps(spark: S, sf: str) -> D:
-    return op.gap_status(_sparse(spark, sf), _TODAY)
+    return op.gap_status(_fine(spark, sf), _TODAY)
 
 
-_HOLES = f"p AS (SELECT DISTINCT account_label, {_MI} AS m FROM ledger WHERE {_SPARSE}), h AS (SELECT account_label, m + 1 AS first_missing, nx - 1 AS last_missing FROM (SELECT *, lead(m) OVER (PARTITION BY account_label ORDER BY m) AS nx FROM p) WHERE nx > m + 1)"
+_HOLES = f"p AS (SELECT DISTINCT account_label, {_MI} AS m FROM ({_FINE})), h AS (SELECT account_label, m + 1 AS first_missing, nx - 1 AS last_missing FROM (SELECT *, lead(m) OVER (PARTITION BY account_label ORDER BY m) AS nx FROM p) WHERE nx > m + 1)"
 
 
 @query(oracle("SELECT * FROM h WHERE last_missing < 2001 * 12 + 8 - 4", _HOLES))
 def win_old_holes(spark: S, sf: str) -> D:
     """Holes that end before the window of the last four months."""
-    return op.holes(op.months_present(_sparse(spark, sf))).filter("last_missing < 2001 * 12 + 8 - 4")
+    return op.holes(op.months_present(_fine(spark, sf))).filter("last_missing < 2001 * 12 + 8 - 4")
 
 
-@query(oracle("SELECT h.* FROM h JOIN closed_accounts USING (account_label) WHERE first_missing <= year(closed_on) * 12 + month(closed_on) - 1", _HOLES, ("closed_accounts",)))
+@query(oracle("SELECT h.* FROM h JOIN closed_accounts c ON split_part(h.account_label, '/', 1) = c.account_label WHERE first_missing <= year(closed_on) * 12 + month(closed_on) - 1", _HOLES, ("closed_accounts",)))
 def win_closed_holes(spark: S, sf: str) -> D:
     """Holes of closed accounts up to their closing month."""
-    h = op.holes(op.months_present(_sparse(spark, sf)))
-    return h.join(F.broadcast(dimension(spark, "closed_accounts")), "account_label").filter("first_missing <= year(closed_on) * 12 + month(closed_on) - 1").select("account_label", "first_missing", "last_missing")
+    h = op.holes(op.months_present(_fine(spark, sf)))
+    closed = dimension(spark, "closed_accounts").withColumnRenamed("account_label", "label")
+    return h.join(F.broadcast(closed), F.substring_index("account_label", "/", 1) == F.col("label")).filter("first_missing <= year(closed_on) * 12 + month(closed_on) - 1").select("account_label", "first_missing", "last_missing")
 
 
 @query(oracle("SELECT id, CAST(date - lag(date) OVER (PARTITION BY account_label, description ORDER BY date, id) AS INT) AS gap FROM ledger WHERE tx_type = 'card_tx'"))

@@ -13,9 +13,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset on a local master."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_ledger_shared", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark._ledger_shared = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
     return base.rstrip("/")
 
