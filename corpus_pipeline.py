@@ -2,12 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's docs. All but
 the last return the columns of ``documents``. The mixing stage keeps every row: its decision is the order of the rows in
-the files it writes.
+the files it writes, which the last stage returns as mix_part and mix_row.
+
+Defined results. A null text is an empty one: the quality rules reject it, as they do all short texts, so no later stage meets it.
+Null sources are a source of their own, null languages and lengths are carried. Very long texts go through whole. Of equal
+or similar texts the row that stays is the operators' (see there), of fully repeated rows one. An empty table gives an empty result.
+Further columns of ``documents`` are carried by all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup, mixing, nbest, quality_rules, simhash
 from ledgerloom.llm.common import Workspace, table
@@ -30,7 +36,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nbest.encode(docs, "text", ["doc_id", "source"])
+    """Best segmentations, with each document's place in the mix: the part and the row of the file that the stage before wrote."""
+    meta = docs.metadataColumn("_metadata")
+    part = F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).cast("int")
+    placed = docs.select("doc_id", "source", "text", part.alias("mix_part"), meta["row_index"].alias("mix_row"))
+    return nbest.encode(placed, "text", ["doc_id", "source", "mix_part", "mix_row"])
 
 
 STAGES = [
