@@ -9,6 +9,7 @@ from ..functions.text import exact_key
 from ..storage import broadcast_if_small
 from ..types import ALWAYS_DROPPED, NEVER_COUNTED
 from .filters import direction, unchecked
+from .patterns import candidates
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -38,13 +39,16 @@ def rule_hit(text: Column, match_type: Column, pattern: Column) -> Column:
 def first_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
     """df plus the columns of the first rule that matches each row (multi first, then priority, then rule id), null without one.
 
-    Rules meet distinct texts, not rows: the theta join runs over distinct (description, direction, doc_type), with the rules
-    broadcast only if they are few, and its result joins back by equality.
+    Rules meet distinct texts, not rows, by an index of the rules' literals (see ``patterns``); what matches meets distinct
+    (description, direction, doc_type) and then the rows by equality.
     """
     facts = df.select("description", direction(F.col("amount")).alias("__dir"), "doc_type").distinct()
     r = broadcast_if_small(rules.select(*[F.col(c).alias(f"rule_{c}" if not c.startswith("rule_") else c) for c in rules.columns]))
     guard = lambda c, of: F.col(c).isNull() | (F.col(c) == F.col(of))
-    met = facts.join(r, rule_hit(F.col("description"), F.col("rule_match_type"), F.col("rule_pattern")) & guard("rule_direction", "__dir") & guard("rule_doc_type", "doc_type"))
+    texts = facts.select(F.col("description").alias("text")).filter("text IS NOT NULL").distinct()
+    near = candidates(texts, rules.select(F.col("rule_id").alias("pattern_id"), F.col("match_type").alias("kind"), "pattern"))
+    hits = near.join(r, F.col("pattern_id") == F.col("rule_id")).filter(rule_hit(F.col("text"), F.col("rule_match_type"), F.col("rule_pattern")))
+    met = facts.join(hits, (F.col("description") == F.col("text")) & guard("rule_direction", "__dir") & guard("rule_doc_type", "doc_type"))
     best = met.groupBy("description", "__dir", "doc_type").agg(F.min_by(F.struct("rule_id", "rule_category", "rule_subcategory", "rule_multi"), F.struct(~F.col("rule_multi"), -F.col("rule_priority"), "rule_id")).alias("r"))
     b = best.select(F.col("description").alias("b_d"), F.col("__dir").alias("b_dir"), F.col("doc_type").alias("b_t"), "r.*")
     on = df["description"].eqNullSafe(F.col("b_d")) & (direction(df["amount"]) == F.col("b_dir")) & df["doc_type"].eqNullSafe(F.col("b_t"))
@@ -57,12 +61,13 @@ EVERYWHERE, CONTINENT = "001", "150"
 
 def brand(df: DataFrame, brands: DataFrame, country: str, continent: str = CONTINENT) -> DataFrame:
     """df plus tag, brand_idx and scope (0 the country, 1 its continent, 2 everywhere, 3 elsewhere) of the best brand, ties by list order."""
-    texts = df.select("description").distinct()
+    texts = df.select(F.col("description").alias("text")).filter("text IS NOT NULL").distinct()
     codes = F.split("countries", ",")
     scope = F.when(F.array_contains(codes, country), 0).when(F.array_contains(codes, continent), 1).when(F.array_contains(codes, EVERYWHERE), 2).otherwise(3)
     r = broadcast_if_small(brands.select("brand_idx", F.col("pattern").alias("b_pattern"), "tag", scope.alias("scope")))
-    met = texts.join(r, F.regexp_like(F.lower("description"), F.col("b_pattern")))
-    best = met.groupBy(F.col("description").alias("b_d")).agg(F.min_by(F.struct("tag", "brand_idx", "scope"), F.struct("scope", "brand_idx")).alias("b")).select("b_d", "b.*")
+    near = candidates(texts, brands.select(F.col("brand_idx").alias("pattern_id"), F.lit("regex").alias("kind"), "pattern"))
+    met = near.join(r, F.col("pattern_id") == F.col("brand_idx")).filter(F.regexp_like(F.lower("text"), F.col("b_pattern")))
+    best = met.groupBy(F.col("text").alias("b_d")).agg(F.min_by(F.struct("tag", "brand_idx", "scope"), F.struct("scope", "brand_idx")).alias("b")).select("b_d", "b.*")
     return df.join(best, F.col("description") == F.col("b_d"), "left").drop("b_d")
 
 
