@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_index
@@ -14,6 +14,24 @@ def daily_cumulative(df: DataFrame) -> DataFrame:
     return days.select("date", F.col("t").cast("double").alias("total"), F.sum("t").over(Window.orderBy("date")).cast("double").alias("running"))
 
 
+def log_bucket(v: Column) -> Column:
+    """A number that never falls as v grows, of which there are some thousands at most: 64 to each doubling."""
+    return F.when(v > 0, F.floor(F.log2(v.cast("double")) * 64)).otherwise(-100_000).cast("int")
+
+
+def running_sum(df: DataFrame, bucket: Column, order: list, add: Column) -> DataFrame:
+    """df plus ``upto``: the running sum of ``add`` in the given order, along which buckets must not fall.
+
+    Sums per bucket are run over first (a row per bucket), then rows inside their bucket only, so no task sees all rows.
+    """
+    rows = df.withColumns({"__b": bucket, "__add": add})
+    sums = rows.groupBy(F.col("__b").alias("__k")).agg(F.sum("__add").alias("__s"))
+    before = sums.select("__k", (F.sum("__s").over(Window.orderBy("__k")) - F.col("__s")).alias("__before"))
+    inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(F.broadcast(before), F.col("__b") == F.col("__k"))
+    return joined.withColumn("upto", F.col("__before") + F.sum("__add").over(inside)).drop("__b", "__k", "__before", "__add")
+
+
 def small_singles(df: DataFrame, key: str, value: str, share: float = 0.05) -> DataFrame:
     """One row, ``limit``: the largest amount v so that all single items up to v stay under ``share`` of all spending.
 
@@ -21,7 +39,7 @@ def small_singles(df: DataFrame, key: str, value: str, share: float = 0.05) -> D
     totals = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("v"))
     bound = df.agg((F.sum(value) * share).alias("bound"))
     amounts = totals.filter("n = 1").groupBy("v").agg(F.count("*").alias("m"))
-    running = amounts.withColumn("upto", F.sum(F.col("v") * F.col("m")).over(Window.orderBy("v"))).join(F.broadcast(bound), how="cross")
+    running = running_sum(amounts, log_bucket(F.col("v")), ["v"], F.col("v") * F.col("m")).join(F.broadcast(bound), how="cross")
     breach = running.agg(F.min(F.when(F.col("upto") >= F.col("bound"), F.col("v"))).alias("b"))
     return amounts.join(F.broadcast(breach), how="cross").agg(F.max(F.when(F.col("b").isNull() | (F.col("v") < F.col("b")), F.col("v"))).cast("double").alias("limit"))
 
@@ -54,8 +72,8 @@ def check_progress(df: DataFrame, key: str, value: str, goal: float = 0.8) -> Da
     """One row: how many of the heaviest undecided keys are left until ``goal`` of all spending is decided."""
     totals = df.groupBy(key).agg(F.sum(value).alias("v"), F.bool_or("decided").alias("decided"))
     total = totals.agg(F.sum("v").alias("all_v"), F.coalesce(F.sum(F.when(F.col("decided"), F.col("v"))), F.lit(0)).alias("done"))
-    w = Window.orderBy(F.desc("v"), key).rowsBetween(Window.unboundedPreceding, -1)
-    open_keys = totals.filter(~F.col("decided")).withColumn("before", F.coalesce(F.sum("v").over(w), F.lit(0))).join(F.broadcast(total), how="cross")
+    running = running_sum(totals.filter(~F.col("decided")), -log_bucket(F.col("v")), [F.desc("v"), key], F.col("v"))
+    open_keys = running.withColumn("before", F.col("upto") - F.col("v")).join(F.broadcast(total), how="cross")
     return open_keys.agg(F.count_if(F.col("done") + F.col("before") < F.col("all_v") * goal).alias("to_go"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import exact_key
 from ..operators import aggregates as op
 from ..operators import filters as flt
+from ..storage import Workspace, broadcast_if_small
 from .common import FROM, TO, dimension, ledger, oracle, query, table
 
 S, D = SparkSession, DataFrame
@@ -346,7 +347,8 @@ def agg_balance_row(spark: S, sf: str) -> D:
     """First row of a file whose amount is the sum of all others. Sums per file are grouped, then joined back."""
     df = ledger(spark, sf).select("source_file", "id", "amount")
     sums = df.groupBy("source_file").agg(F.sum("amount").alias("t"), F.count("*").alias("n")).filter("n >= 3")
-    hit = df.join(F.broadcast(sums), "source_file").filter("abs(abs(amount) - abs(t - amount)) <= 0.01")
+    sums = broadcast_if_small(Workspace(spark, "balance-row").save(sums, "sums"))  # a row per file
+    hit = df.join(sums, "source_file").filter("abs(abs(amount) - abs(t - amount)) <= 0.01")
     return hit.groupBy("source_file").agg(F.min("id").alias("balance_id"))
 
 

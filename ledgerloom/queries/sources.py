@@ -95,19 +95,19 @@ def src_residual_text(spark: S, sf: str) -> D:
     return ledger(spark, sf).select("id", src.residual(F.concat("raw_description", F.lit(" 12/03/2024 1.234,50"))).alias("residual"))
 
 
-@query(oracle("SELECT id, context FROM ledger WHERE batch_id = 3"))
+@query(oracle("SELECT id, context FROM ledger"))
 def src_drop_empty_cols(spark: S, sf: str) -> D:
-    df = ledger(spark, sf).filter("batch_id = 3").select("id", "context", "transfer_pair_id", F.lit(None).cast("date").alias("closed"))
+    df = ledger(spark, sf).select("id", "context", "transfer_pair_id", F.lit(None).cast("date").alias("closed"))
     return src.drop_empty_columns(df)
 
 
 _CSV = ["id", "date", "amount", "currency", "description", "source_file", "doc_type", "account_label", "tx_type", "category", "subcategory", "category_source", "reconciled", "to_review"]
 
 
-@query(oracle("SELECT id, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, description, category, reconciled FROM ledger"))
+@query(oracle("SELECT id, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, currency, description, source_file, doc_type, account_label, tx_type, category, subcategory, category_source, reconciled, to_review FROM ledger"))
 def snk_csv(spark: S, sf: str) -> D:
     """Written by the executors, read back."""
     at = Workspace(spark, "export").path("ledger")
     src.write_csv(ledger(spark, sf), at, _CSV)
     back = spark.read.option("header", True).option("escape", '"').csv(at)
-    return back.select("id", "date", F.col("amount").cast("double").alias("amount"), "description", "category", F.col("reconciled").cast("boolean").alias("reconciled"))
+    return back.withColumns({"amount": F.col("amount").cast("double"), "reconciled": F.col("reconciled").cast("boolean"), "to_review": F.col("to_review").cast("boolean")})

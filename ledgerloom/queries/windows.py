@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import exact_key
 from ..operators import windows as op
 from ..operators.aggregates import share
+from ..storage import Workspace, broadcast_if_small
 from .common import dimension, ledger, oracle, query
 
 S, D = SparkSession, DataFrame
@@ -74,7 +75,8 @@ def win_contig_tail(spark: S, sf: str) -> D:
     """Rows at a file's end for which a condition holds without a break: those after the last row that breaks it."""
     df = ledger(spark, sf).select("source_file", "date", "id", "amount")
     last = df.filter(~(F.col("amount") < 0)).groupBy("source_file").agg(F.max(F.struct("date", "id")).alias("b"))
-    tail = df.join(F.broadcast(last), "source_file", "left").filter(F.col("b").isNull() | (F.struct("date", "id") > F.col("b")))
+    last = broadcast_if_small(Workspace(spark, "contig-tail").save(last, "last"))  # a row per file
+    tail = df.join(last, "source_file", "left").filter(F.col("b").isNull() | (F.struct("date", "id") > F.col("b")))
     return tail.groupBy("source_file").agg(F.count("*").alias("tail"))
 
 
