@@ -188,3 +188,29 @@ def destination(description: Column | str, raw: Column | str) -> Column:
     text = F.trim(F.regexp_replace(F.upper(_text(description)), r"\s+", " "))
     first = lambda c: F.nullif(F.regexp_extract(c, IBAN, 1), F.lit(""))
     return F.coalesce(first(F.upper(_text(raw))), first(text), text)
+
+
+#: Legal forms at the end of a company's name, taken off in this order; lengths that decide what a brand's pattern is.
+LEGAL_FORMS = (
+    " s.p.a.", " spa", " s.r.l.", " srl", " s.a.s.", " sas", " ltd.", " ltd", " llc", " inc.", " inc", " corp.", " gmbh", " ag", " nv", " bv", " sarl", " sas", " s.a.", " sa", " ou", " ab", " oy",
+)
+LEAST_NAME, WHOLE_NAME, LEAST_PREFIX = 3, 10, 5
+
+
+def brand_name(name: Column) -> Column:
+    """A company's name in lower case, without legal forms and signs other than hyphens."""
+    out = F.trim(F.lower(name))
+    for form in LEGAL_FORMS:
+        out = F.trim(F.regexp_replace(out, form.replace(".", "\\.") + "\\z", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w\s\-]", ""), r"(?U)\s+", " "))
+
+
+def brand_pattern(name: Column) -> Column:
+    """The regular expression that finds a brand in a bank's text: the whole name as words if it is short, else the first two
+    thirds of it, as banks cut long names; null for names under three characters."""
+    bare = brand_name(name)
+    n = F.length(bare)
+    quoted = lambda c: F.concat(F.lit("\\b"), F.regexp_replace(c, r"([ \-])", r"\\$1"))
+    short = F.concat(quoted(bare), F.lit("\\b"))
+    long = quoted(F.substring(bare, F.lit(1), F.greatest(F.lit(LEAST_PREFIX), F.floor(n * 2 / 3).cast("int"))))
+    return F.when(n >= LEAST_NAME, F.when(n <= WHOLE_NAME, short).otherwise(long))

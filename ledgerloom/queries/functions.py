@@ -230,3 +230,12 @@ def fn_duration(spark: S, sf: str) -> D:
 @query("SELECT o_orderkey, translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS shown FROM orders")
 def fn_display_amount(spark: S, sf: str) -> D:
     return table(spark, sf, "orders").select("o_orderkey", amounts.display_amount(F.col("o_totalprice")).alias("shown"))
+
+
+_COMPANY = "concat(CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE '' END, CASE WHEN p_partkey % 4 = 1 THEN upper(p_name) WHEN p_partkey % 4 = 2 THEN replace(p_name, ' ', '-') WHEN p_partkey % 4 = 3 THEN split_part(p_name, ' ', 2) ELSE concat(p_name, '''s & co!') END, CASE p_partkey % 5 WHEN 0 THEN ' S.p.A.' WHEN 1 THEN ' GmbH' WHEN 2 THEN ' Ltd' WHEN 3 THEN ' S.A.' ELSE '' END)"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN length(b) < 3 THEN NULL WHEN length(b) <= 10 THEN '\\b' || q || '\\b' ELSE '\\b' || replace(replace(substr(b, 1, CAST(greatest(5, floor(length(b) * 2 / 3)) AS INT)), '-', '\\-'), ' ', '\\ ') END AS pattern
+FROM (SELECT p_partkey, b, replace(replace(b, '-', '\\-'), ' ', '\\ ') AS q FROM (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({_COMPANY})), ' (s\\.p\\.a\\.|gmbh|ltd|s\\.a\\.)$', ''), '[^\\w\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS b FROM part))""")
+def fn_brand_pattern(spark: S, sf: str) -> D:
+    return table(spark, sf, "part").select("p_partkey", tx.brand_pattern(F.expr(_COMPANY)).alias("pattern"))
