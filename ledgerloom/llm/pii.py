@@ -54,15 +54,15 @@ _DIGITS = re.compile("[0-9]+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]|(?<= )at(?= \S{1,64} (?:dot |[\[({<] ?dot))", re.IGNORECASE)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[\W_]")
-_AT_SIGN = r"(?: ?(?:[\[({<] ?(?:at|AT|At) ?[\])}>]|@) ?| at )"
-_SET_DOT = r"(?: ?[\[({<] ?(?:dot|DOT|Dot|\.) ?[\])}>] ?| \. | dot )"
+_AT_SIGN = r"(?: ?(?:[\[({<] ?(?:at|AT|At) ?[\])}>]|@) ?| (?:at|AT|At) )"
+_SET_DOT = r"(?: ?[\[({<] ?(?:dot|DOT|Dot|\.) ?[\])}>] ?| \. | (?:dot|DOT|Dot) )"
 _AT = re.compile(_AT_SIGN)
 _DOT = re.compile(_SET_DOT + r"|(?<=\S)\.(?=\S)")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 #: What a segment can be, from its first character on: a number, an address, a key.
-_NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/\[\]]{0,3}[0-9]){3,18}")
+_NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/_\[\]]{0,3}[0-9]){3,18}")
 _MAIL = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:{_SET_DOT}[A-Za-z0-9._%+-]{{1,64}}){{0,8}}{_AT_SIGN}[A-Za-z0-9-]{{1,63}}(?:(?:{_SET_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,126}}")
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,512}(?![A-Za-z0-9+/_\-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}+(?:\.[A-Za-z0-9+/_\-]{20,}+){0,2}")
 _NAMED = re.compile(r"(?i)(?:token|key|secret|passw\w{0,4}|pwd|bearer|credential)\W{0,5}\Z")
 
 
@@ -141,7 +141,7 @@ FEATURES = (
 _INDEX = {f: i for i, f in enumerate(FEATURES)}
 _GROUPED = re.compile(r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}")
 _MORE = re.compile(r" ?[\[({<] ?(?:at|dot|\.) ?[\])}>]| dot \w|\.\w", re.IGNORECASE)
-_QUAD = re.compile(r"\d+(?:(?:\.|\[\.\]|\(\.\))\d+){3}")
+_QUAD = re.compile(r"\d+(?:(?:\.| \. |\[\.\]|\(\.\))\d+){3}")
 
 
 def describe(span: str, left: str, right: str) -> tuple[int, ...]:
@@ -160,7 +160,7 @@ def describe(span: str, left: str, right: str) -> tuple[int, ...]:
     left = left[-1:]
     if _ADDRESS.fullmatch(_DOT.sub(".", _AT.sub("@", span, count=1))):
         on.append("address")
-        on += ["spoken"] if " at " in span else []
+        on += ["spoken"] if " at " in span.lower() else []
     if _AT.search(span):
         on.append("at_sign")
     if re.search(r"[^\W\d_]", span):
@@ -306,10 +306,10 @@ def _generated(rng: random.Random) -> list[tuple[str, list[tuple[int, int, str]]
     octet = lambda: str(rng.randint(0, 255))
     a, b, c, d = (lambda: num(3)), (lambda: num(3)), (lambda: num(4)), (lambda: rng.choice(["1", "44", "33"]))
     makers = [
-        ("email", lambda: email("@", ".")), ("email", lambda: email(" [at] ", " [dot] ")), ("email", lambda: email("(at)", ".")), ("email", lambda: email(" @ ", ".")), ("email", lambda: email("[at]", "[dot]")), ("email", lambda: email(" at ", " dot ")), ("email", lambda: email(" [At] ", " [Dot] ")), ("email", lambda: email(" (at) ", " (dot) ")),
-        ("ip", lambda: ".".join(octet() for _ in range(4))), ("ip", lambda: "[.]".join(octet() for _ in range(4))), ("ip", lambda: "[.]".join(["10", num(1), num(1), num(1)])), ("ip", lambda: "(.)".join(octet() for _ in range(4))),
-        ("card", lambda: card("")), ("card", lambda: card(" ")), ("card", lambda: card("-")), ("card", lambda: card(".")), ("card", lambda: "/".join(card(""))), ("card", lambda: " ".join(card(""))),
-        ("secret", lambda: f'token = "{key(40)}"'), ("secret", lambda: f"api_key={key(32)}"), ("secret", lambda: f"secret: {mixed(24)}"), ("secret", lambda: f"password: {mixed(28)}"),
+        ("email", lambda: email("@", ".")), ("email", lambda: email(" [at] ", " [dot] ")), ("email", lambda: email("(at)", ".")), ("email", lambda: email(" @ ", ".")), ("email", lambda: email("[at]", "[dot]")), ("email", lambda: email(" at ", " dot ")), ("email", lambda: email(" AT ", " DOT ")), ("email", lambda: email(" [At] ", " [Dot] ")), ("email", lambda: email(" (at) ", " (dot) ")),
+        ("ip", lambda: ".".join(octet() for _ in range(4))), ("ip", lambda: "[.]".join(octet() for _ in range(4))), ("ip", lambda: "[.]".join(["10", num(1), num(1), num(1)])), ("ip", lambda: "(.)".join(octet() for _ in range(4))), ("ip", lambda: " . ".join(octet() for _ in range(4))), ("ip", lambda: " . ".join(["10", num(1), num(1), num(1)])),
+        ("card", lambda: card("")), ("card", lambda: card(" ")), ("card", lambda: card("-")), ("card", lambda: card(".")), ("card", lambda: card("_")), ("card", lambda: "/".join(card(""))), ("card", lambda: " ".join(card(""))),
+        ("secret", lambda: f'token = "{key(40)}"'), ("secret", lambda: f"api_key={key(32)}"), ("secret", lambda: f"secret: {mixed(24)}"), ("secret", lambda: f"password: {mixed(28)}"), ("secret", lambda: f"bearer {mixed(20)}.{mixed(40)}.{mixed(30)}"),
         ("phone", lambda: f"+{d()} ({a()}) {b()}-{c()}"), ("phone", lambda: f"({a()}) {b()}-{c()}"), ("phone", lambda: f"{a()}-{b()}-{c()}"), ("phone", lambda: f"+{d()} {a()} {b()} {c()}"), ("phone", lambda: f"{a()}.{b()}.{c()}"), ("phone", lambda: f"{d()}-{a()}-{b()}-{c()}"),
         (None, lambda: str(rng.randint(1900, 2030))), (None, lambda: f"20{num(2)}-0{rng.randint(1, 9)}-1{num(1)}"), (None, lambda: f"{num(1)}.{num(1)}.{num(2)}"), (None, lambda: key(40)), (None, lambda: key(32)), (None, lambda: f"{word()}-{num(4)}-{word()}-{word()}{word()}{word()}"), (None, lambda: f"{word()} at {word()} {word()}"),
         (None, lambda: "9" + num(15) if not luhn("9" + num(15)) else num(12)), (None, lambda: num(6)), (None, lambda: num(11)), (None, lambda: num(10)), (None, lambda: "@" + word()), (None, lambda: f"{num(2)},{num(3)}.{num(2)}"), (None, lambda: f"{num(3)}-{num(4)}"),
@@ -375,9 +375,11 @@ def _join(spans: list[tuple[int, int, str]]) -> str:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE) -> list[str]:
-    """Stretches of at most 140 characters around the first trigger of the documents with the lowest id hashes."""
+    """Stretches of at most 140 characters of the documents with the lowest id hashes, around the first trigger from a hashed place of the text on."""
     text = F.col(f"`{text_col}`").cast("string")
-    found = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.regexp_instr(text, F.lit("[0-9@]")).alias("at"), text.alias("t")).filter("at > 0")
+    rest = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), text.alias("t")).withColumn("skip", F.expr("pmod(h, greatest(length(t), 1))"))
+    later = F.regexp_instr(F.expr("substring(t, skip + 1)"), F.lit("[0-9@]"))
+    found = rest.withColumn("later", later).withColumn("at", F.when(F.col("later") > 0, F.col("later") + F.col("skip")).otherwise(F.regexp_instr("t", F.lit("[0-9@]")))).filter("at > 0")
     cut = found.select("h", F.substring("t", F.greatest(F.col("at") - 40, F.lit(1)), F.lit(140)).alias("cut"))
     return [r["cut"] for r in cut.orderBy("h", "cut").limit(rows).collect()]
 

@@ -55,11 +55,11 @@ def test_decoding_finds_the_best_of_all_segmentations(model):
 
 
 FORMS = {
-    "email": ["anna.maria.christopher.montgomery [at] example [dot] org", "jo.smith(at)mail.example.com", "a.b [at] c [dot] d [dot] e [dot] com", "Kim [At] Example [Dot] Net", "lee at example dot com"],
-    "ip": ["10[.]0[.]0[.]7", "192[.]168[.]12[.]201", "172(.)16(.)254(.)3"],
-    "card": ["4111.1111.1111.1111", "4/1/1/1/1/1/1/1/1/1/1/1/1/1/1/1"],
+    "email": ["anna.maria.christopher.montgomery [at] example [dot] org", "jo.smith(at)mail.example.com", "a.b [at] c [dot] d [dot] e [dot] com", "Kim [At] Example [Dot] Net", "lee at example dot com", "bob AT example DOT com"],
+    "ip": ["10[.]0[.]0[.]7", "192[.]168[.]12[.]201", "172(.)16(.)254(.)3", "10 . 0 . 0 . 1"],
+    "card": ["4111.1111.1111.1111", "4/1/1/1/1/1/1/1/1/1/1/1/1/1/1/1", "4111_1111_1111_1111"],
     "phone": ["(212) 555-0147", "212-555-0188", "1-212-555-0147"],
-    "secret": ["token = 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "api_key=aB3dEfGh5jKmNpQrStUvWxYz2345"],
+    "secret": ["token = 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "api_key=aB3dEfGh5jKmNpQrStUvWxYz2345", "secret: " + "aB3dEfGh5j" * 60, "bearer aB3hbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"],
 }
 
 
