@@ -33,8 +33,8 @@ def upsert(ledger: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def hold(df: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows, held rows): rows dated after today don't enter the ledger."""
-    late = F.col("date") > today
+    """(ledger rows, held rows): rows dated after today don't enter the ledger; rows without a date do."""
+    late = F.coalesce(F.col("date") > today, F.lit(False))
     return df.filter(~late), df.filter(late)
 
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from ..plans.registry import ORACLES, QUERIES
 
-MODULES = ("filters", "aggregates", "joins", "windows", "functions", "mutations", "columns", "records", "retrieval", "sources", "streams")
+MODULES = ("filters", "aggregates", "joins", "windows", "functions", "mutations", "columns", "records", "retrieval", "sources", "store", "streams")
 for _m in MODULES:
     import_module(f".{_m}", __name__)
 

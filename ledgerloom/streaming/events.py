@@ -10,12 +10,13 @@ from ..storage import Workspace
 LATE = "1 hour"
 
 
-def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, name: str, mode: str = "append", space: Workspace | None = None) -> DataFrame:
     """Drain a stream into the shared folder; returns what it wrote. A batch that runs again overwrites its own output.
 
-    In complete mode the last batch holds the whole result, in append mode all batches together do.
+    In complete mode the last batch holds the whole result, in append mode all batches together do. Run again over the same
+    ``space``, a stream goes on from its checkpoint.
     """
-    space = Workspace(stream.sparkSession, name)
+    space = space or Workspace(stream.sparkSession, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(space.path(f"out/batch={number}" if mode == "append" else "out/batch=0"))
