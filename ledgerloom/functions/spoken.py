@@ -1,4 +1,4 @@
-"""Amounts as people say or dictate them in Italian ("ventitre euro e quaranta"), read and spelled out as Column expressions."""
+"""Amounts and dates as people say or dictate them in Italian ("ventitre euro e quaranta", "sabato scorso"), read and spelled out as Column expressions."""
 
 from __future__ import annotations
 
@@ -13,6 +13,20 @@ TEENS = ["dieci", "undici", "dodici", "tredici", "quattordici", "quindici", "sed
 TENS = ["venti", "trenta", "quaranta", "cinquanta", "sessanta", "settanta", "ottanta", "novanta"]
 EURO, CENT, POINT = ("euro", "eur", "euri"), ("centesimi", "centesimo", "cent"), ("virgola", "punto")
 WRITTEN = r"\d{1,3}(?:\.\d{3})+,\d{1,2}|\d+[.,]\d{1,2}(?!\d)"
+#: Months, weekdays from Monday on, ordinals of days, words for today and yesterday, how dates look.
+MONTH_NAMES = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
+MONTH_SHORT = ["gen", "feb", "mar", "apr", "mag", "giu", "lug", "ago", "set", "ott", "nov", "dic"]
+WEEKDAYS = ["lunedi", "martedi", "mercoledi", "giovedi", "venerdi", "sabato", "domenica"]
+ORDINALS = ["primo", "secondo", "terzo", "quarto", "quinto", "sesto", "settimo", "ottavo", "nono", "decimo"]
+TODAY = ["oggi", "stamattina", "stamani", "stasera", "today", "aujourd hui", "heute", "hoy"]
+YESTERDAY = ["ieri", "yesterday", "hier", "gestern", "ayer"]
+DAY_BEFORE = r"l\s+altro\s+ieri|altro\s*ieri|avantieri|ieri\s+l\s+altro"
+ARTICLE, DAY = r"(?:il|del|al|lo|l)\s+", r"(\d{1,2}|[a-z]+)"
+DATE_WRITTEN = r"\b\d{1,2}(?:[/-]\d{1,2}(?:[/-]\d{2,4})?|\.\d{1,2}\.\d{2,4})\b"
+DATE_MONTH = rf"\b(?:{ARTICLE})?{DAY}\s+(?:di\s+)?({'|'.join(MONTH_NAMES + MONTH_SHORT)})\b(?:\s+(\d{{4}}))?"
+DATE_RELATIVE = rf"\b(?:{DAY_BEFORE}|{'|'.join(YESTERDAY + TODAY)})\b"
+DATE_WEEKDAY = rf"\b({'|'.join(WEEKDAYS)})(\s+scors[oa])?\b"
+DATE_DAY = rf"\b(?:{ARTICLE}{DAY}(?:\s+del\s+mese)?|{DAY}\s+del\s+mese)\b"
 
 
 def _said() -> list[str]:
@@ -24,6 +38,10 @@ def _map(pairs: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def _folded(text: Column) -> Column:
+    return F.translate(F.lower(text), "àáèéìíòóùú", "aaeeiioouu")
+
+
 def _hundreds(word: Column) -> Column:
     """Value of a word below 1,000, or null."""
     small = _map({w: n for n, w in enumerate(_said())} | {t + u: 20 + 10 * i + n for i, t in enumerate(TENS) for n, u in enumerate(UNITS) if n})
@@ -51,7 +69,7 @@ def amount(text: Column) -> Column:
     A number counts with the cents after "e", "virgola", "punto" or straight after the euro word; "virgola 4" is forty cents. A
     zero counts only with cents. Null and empty texts have none; runs of digits beyond 14 places aren't read.
     """
-    plain = F.replace(F.translate(F.lower(text), "àáèéìíòóùú", "aaeeiioouu"), F.lit("€"), F.lit(" euro "))
+    plain = F.replace(_folded(text), F.lit("€"), F.lit(" euro "))
     tokens = F.regexp_extract_all(plain, F.lit(WRITTEN + r"|\d+|[a-z]+"), F.lit(0))
 
     def read(tok: Column) -> Column:
@@ -86,6 +104,61 @@ def amount(text: Column) -> Column:
     return F.get(F.transform(F.array(F.transform(tokens, read)), pick), F.lit(0))
 
 
+def date(text: Column, today: Column) -> Column:
+    """The first date that a text names, as said on the day ``today``; null if there is none.
+
+    What is written in figures comes first, then days with a month, words like "ieri", weekdays, and days alone ("il 12", "primo
+    del mese"). Without a year, a month or a week it is the last such day that isn't in the future; a weekday that is today's
+    means today unless "scorso" follows. Days that a month doesn't have are no dates. Where several are of one kind the first
+    counts. A null text or null today gives null, the latter only where a year isn't said.
+    """
+    plain = F.regexp_replace(_folded(text), "['`\u2019]", " ")
+    year = F.year(today)
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        first = F.make_date(F.greatest(y, F.lit(1)), F.greatest(F.least(m, F.lit(12)), F.lit(1)), F.lit(1))
+        return F.when((y >= 1) & m.between(1, 12) & d.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, d - 1))
+
+    def passed(m: Column, d: Column) -> Column:
+        this = day(year, m, d)
+        return F.when(this <= today, this).when(this.isNotNull(), day(year - 1, m, d))
+
+    def number_of(word: Column) -> Column:
+        return F.coalesce(_map({w: n for n, w in enumerate(ORDINALS, 1)})[word], number(word).cast("int"))
+
+    def all_of(pattern: str) -> Column:
+        return F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+
+    def first_of(found: Column, read) -> Column:
+        return F.get(F.filter(F.transform(found, read), lambda d: d.isNotNull()), F.lit(0))
+
+    def written(hit: Column) -> Column:
+        part = lambda i: F.get(F.split(hit, "[/.-]"), F.lit(i))
+        d, m, y = (part(i).try_cast("int") for i in range(3))
+        return F.when(y.isNull(), passed(m, d)).otherwise(day(F.when(F.length(part(2)) == 2, y + 2000).otherwise(y), m, d))
+
+    def with_month(hit: Column) -> Column:
+        names = {w: n for words in (MONTH_NAMES, MONTH_SHORT) for n, w in enumerate(words, 1)}
+        d, m, y = number_of(F.regexp_extract(hit, DATE_MONTH, 1)), _map(names)[F.regexp_extract(hit, DATE_MONTH, 2)], F.regexp_extract(hit, DATE_MONTH, 3).try_cast("int")
+        return F.when(y.isNull(), passed(m, d)).otherwise(day(y, m, d))
+
+    def relative(hit: Column) -> Column:
+        return F.date_sub(today, F.when(hit.isin(*TODAY), 0).when(hit.isin(*YESTERDAY), 1).otherwise(2))
+
+    def weekday(hit: Column) -> Column:
+        back = F.pmod(F.weekday(today) - _map({w: n for n, w in enumerate(WEEKDAYS)})[F.regexp_extract(hit, DATE_WEEKDAY, 1)], F.lit(7))
+        return F.date_sub(today, F.when((back == 0) & (F.regexp_extract(hit, DATE_WEEKDAY, 2) != ""), 7).otherwise(back))
+
+    def alone(hit: Column) -> Column:
+        d = number_of(F.concat(F.regexp_extract(hit, DATE_DAY, 1), F.regexp_extract(hit, DATE_DAY, 2)))
+        # No month has fewer than 28 days, and of two in a row one has 31.
+        months = [F.add_months(F.trunc(today, "month"), -k) for k in range(3)]
+        return F.coalesce(*[F.when(at <= today, at) for at in (day(F.year(m), F.month(m), d) for m in months)])
+
+    kinds = ((DATE_WRITTEN, written), (DATE_MONTH, with_month), (DATE_RELATIVE, relative), (DATE_WEEKDAY, weekday), (DATE_DAY, alone))
+    return F.coalesce(*[first_of(all_of(pattern), read) for pattern, read in kinds])
+
+
 def spell(n: Column, elide: bool = False) -> Column:
     """An integer from 0 to 999,999 as one word; ``elide`` writes centotto for centootto."""
     words = F.array(*[F.lit(w) for w in _said()])

@@ -47,3 +47,12 @@ def dirty(description: Column, raw: Column, prefixes: list[str]) -> Column:
     hit = merchant(raw, prefixes)
     key = F.array_join(words(description), " ")
     return F.when((key == hit["prefix"]) | F.startswith(key, F.concat(hit["prefix"], F.lit(" "))), hit["merchant"])
+
+
+def rules_of(rules: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Rules whose ``pattern`` begins with the whole words of a ``prefix``: an equi-join on runs of first words, without a loop over prefixes."""
+    w = words("pattern")
+    starts = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda n: F.slice(w, 1, n)))
+    named = prefixes.select(words("prefix").alias("__start")).filter(F.size("__start") > 0).distinct()
+    hit = rules.select("rule_id", F.explode(starts).alias("__start")).join(named, "__start", "left_semi").select("rule_id").distinct()
+    return rules.join(hit, "rule_id", "left_semi")

@@ -7,6 +7,8 @@ items again from another file with a longer text) and exact duplicates on anothe
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import table
@@ -103,6 +105,31 @@ def dimension(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(dimension_sql(name))
 
 
+#: Dimensions that grow with the given tables, as one text that both engines read.
+DERIVED = {
+    "part_rules": "SELECT min(p_partkey) AS rule_id, lower(concat(p_name, ' ', replace(p_brand, '#', ' '))) AS pattern, CASE p_partkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'contains' ELSE 'starts_with' END AS match_type, "
+    "CASE p_partkey % 3 WHEN 0 THEN 'out' WHEN 1 THEN 'in' END AS direction, min(p_type) AS category, CAST(max(p_size) AS BIGINT) AS priority FROM {part} GROUP BY 2, 3, 4",
+    "supplier_rules": "SELECT lower(s_name) AS pattern, 'contains' AS match_type, 'out' AS direction, 'Suppliers' AS category FROM {supplier} GROUP BY 1",
+    "supplier_brands": "SELECT s_suppkey AS brand_idx, lower(s_name) AS pattern, concat(n_name, ',', r_name) AS countries FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey",
+    "part_prefixes": "SELECT DISTINCT upper(p_name) AS prefix FROM {part} WHERE length(p_name) % 3 = 0",
+    "part_taxonomy": "SELECT CASE WHEN length(p_type) % 2 = 0 THEN 'out' ELSE 'in' END AS direction, p_type AS category, p_brand AS subcategory, min(p_partkey) AS sort_order, min(p_partkey) % 3 = 0 AS is_fallback FROM {part} GROUP BY p_type, p_brand",
+    "part_budget": "SELECT concat(p_type, ' ', p_brand) AS category, CAST(count(*) % 40 AS DOUBLE) AS target_pct FROM {part} GROUP BY 1",
+    "new_budget": "SELECT CASE WHEN p_size % 2 = 0 THEN p_type ELSE concat(p_type, ' ', p_brand) END AS category, CAST(max(p_size) AS DOUBLE) AS target_pct FROM {part} WHERE p_size > 40 GROUP BY 1",
+    "customer_answers": "SELECT concat('IT60X0542811101', CAST(100000000 + c_custkey AS STRING)) AS dest_key, CASE WHEN c_custkey % 3 = 0 THEN 'mine' ELSE 'other_person' END AS answer FROM {customer} WHERE c_custkey % 2 = 0",
+    "new_answers": "SELECT concat('IT60X0542811101', CAST(100000000 + c_custkey AS STRING)) AS dest_key, 'mine' AS answer FROM {customer} WHERE c_custkey % 5 = 0",
+}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tables = re.findall(r"\{(\w+)\}", DERIVED[name])
+    return spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in tables})
+
+
+def derived_oracle(select: str, *names: str) -> str:
+    """Oracle text over derived dimensions alone."""
+    return f"WITH {', '.join(f'{n} AS ({re.sub(r"[{}]", "", DERIVED[n])})' for n in names)} {select}"
+
+
 def oracle(select: str, ctes: str = "", dims: tuple[str, ...] = ()) -> str:
     """Oracle text: the ledger, the named dimensions, more common table expressions, the final select."""
     parts = [LEDGER_SQL, *[f"{d} AS ({dimension_sql(d)})" for d in dims], *([ctes] if ctes else [])]

@@ -9,7 +9,7 @@ from ..functions.text import exact_key
 from ..operators import aggregates as op
 from ..operators import filters as flt
 from ..storage import Workspace, broadcast_if_small
-from .common import FROM, TO, dimension, ledger, oracle, query, table
+from .common import FROM, TO, derived, derived_oracle, dimension, ledger, oracle, query, table
 
 S, D = SparkSession, DataFrame
 _SCOPE = "tx_type NOT IN ('card_settlement', 'aggregate_debit', 'internal_out', 'internal_in')"
@@ -410,9 +410,9 @@ def agg_monthly_legacy(spark: S, sf: str) -> D:
     return latest.select("m.year", "m.month", "category", "m.total", (F.col("m.total") > 1_000_000).alias("over_limit"))
 
 
-@query(oracle("SELECT country, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(countries, ',')) AS country FROM brands) GROUP BY 1 ORDER BY n DESC, country LIMIT 10", dims=("brands",)))
+@query(derived_oracle("SELECT country, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(countries, ',')) AS country FROM supplier_brands) GROUP BY 1 ORDER BY n DESC, country LIMIT 10", "supplier_brands"))
 def agg_nsi_stats(spark: S, sf: str) -> D:
-    return dimension(spark, "brands").select(F.explode(F.split("countries", ",")).alias("country")).groupBy("country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country").limit(10)
+    return derived(spark, sf, "supplier_brands").select(F.explode(F.split("countries", ",")).alias("country")).groupBy("country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country").limit(10)
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS user_id, event_type, max(struct_pack(t := ts, e := event_id)).e AS event_id FROM events GROUP BY ALL")
@@ -451,15 +451,15 @@ def op_accounts(spark: S, sf: str) -> D:
     return g.join(F.broadcast(dimension(spark, "closed_accounts")), "account_label", "left").select("account_label", "n", "files", "last_day", F.col("closed_on").isNotNull().alias("closed"))
 
 
-@query(oracle("SELECT direction, category, list(subcategory ORDER BY sort_order) AS subcategories FROM taxonomy GROUP BY ALL", dims=("taxonomy",)))
+@query(derived_oracle("SELECT direction, category, list(subcategory ORDER BY sort_order) AS subcategories FROM part_taxonomy GROUP BY ALL", "part_taxonomy"))
 def op_taxonomy_cfg(spark: S, sf: str) -> D:
-    g = dimension(spark, "taxonomy").groupBy("direction", "category").agg(F.array_sort(F.collect_list(F.struct("sort_order", "subcategory"))).alias("s"))
+    g = derived(spark, sf, "part_taxonomy").groupBy("direction", "category").agg(F.array_sort(F.collect_list(F.struct("sort_order", "subcategory"))).alias("s"))
     return g.select("direction", "category", F.transform("s", lambda x: x["subcategory"]).alias("subcategories"))
 
 
-@query(oracle("SELECT direction, category, subcategory FROM taxonomy WHERE is_fallback QUALIFY row_number() OVER (PARTITION BY direction ORDER BY sort_order DESC) = 1", dims=("taxonomy",)))
+@query(derived_oracle("SELECT direction, category, subcategory FROM part_taxonomy WHERE is_fallback QUALIFY row_number() OVER (PARTITION BY direction ORDER BY sort_order DESC) = 1", "part_taxonomy"))
 def op_fallbacks(spark: S, sf: str) -> D:
-    g = dimension(spark, "taxonomy").filter("is_fallback").groupBy("direction").agg(F.max_by(F.struct("category", "subcategory"), "sort_order").alias("f"))
+    g = derived(spark, sf, "part_taxonomy").filter("is_fallback").groupBy("direction").agg(F.max_by(F.struct("category", "subcategory"), "sort_order").alias("f"))
     return g.select("direction", "f.category", "f.subcategory")
 
 

@@ -11,7 +11,7 @@ from ..operators import intermediaries
 from ..operators import joins as op
 from ..operators import matching
 from ..plans.ledger import DIMENSIONS
-from .common import dimension, ledger, oracle, query, table
+from .common import derived, derived_oracle, dimension, ledger, oracle, query, table
 
 S, D = SparkSession, DataFrame
 
@@ -303,11 +303,11 @@ def op_rules_unused(spark: S, sf: str) -> D:
     return r.join(met, "rule_id", "left_anti").select("rule_id")
 
 
-@query(oracle("SELECT rule_id, pattern FROM rules ORDER BY priority DESC, rule_id", dims=("rules",)))
+@query(derived_oracle("SELECT rule_id, pattern FROM part_rules ORDER BY priority DESC, rule_id", "part_rules"))
 def op_rules_list(spark: S, sf: str) -> D:
-    return dimension(spark, "rules").orderBy(F.desc("priority"), "rule_id").select("rule_id", "pattern")
+    return derived(spark, sf, "part_rules").orderBy(F.desc("priority"), "rule_id").select("rule_id", "pattern")
 
 
-@query(oracle("SELECT DISTINCT rule_id FROM rules JOIN intermediaries ON starts_with(upper(pattern), prefix)", dims=("rules", "intermediaries")))
+@query(derived_oracle("SELECT rule_id FROM part_rules WHERE EXISTS (SELECT 1 FROM part_prefixes WHERE starts_with(pattern || ' ', lower(prefix) || ' '))", "part_rules", "part_prefixes"))
 def op_intermed_rules(spark: S, sf: str) -> D:
-    return dimension(spark, "rules").join(F.broadcast(dimension(spark, "intermediaries")), tx.starts_with("pattern", "prefix"), "left_semi").select("rule_id")
+    return intermediaries.rules_of(derived(spark, sf, "part_rules"), derived(spark, sf, "part_prefixes")).select("rule_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import records as op
-from .common import dimension, ledger, oracle, query, table
+from .common import derived, derived_oracle, dimension, ledger, oracle, query, table
 
 S, D = SparkSession, DataFrame
 _LINKS = """links AS (SELECT concat('x-', CAST(o_orderkey AS STRING)) AS out_id, concat('i-', CAST(o_orderkey AS STRING)) AS in_id,
@@ -129,25 +129,24 @@ def op_pair_filters(spark: S, sf: str) -> D:
     return op.open_links(links).select("out_id", "in_id", F.lit("open").alias("state")).unionByName(op.rejected_links(links).select("out_id", "in_id", F.lit("rejected").alias("state")))
 
 
-@query("SELECT 'IT60X0542811101100000011' AS dest_key, 'mine' AS answer UNION ALL SELECT 'IT60X0542811101100000022', 'mine' UNION ALL SELECT 'IT60X0542811101100000033', 'other_person' UNION ALL SELECT 'NEW', 'mine'")
+@query(derived_oracle("SELECT dest_key, coalesce(n.answer, c.answer) AS answer FROM customer_answers c FULL JOIN new_answers n USING (dest_key)", "customer_answers", "new_answers"))
 def op_destinations(spark: S, sf: str) -> D:
-    new = spark.createDataFrame([("IT60X0542811101100000011", "mine"), ("NEW", "mine")], "dest_key string, answer string")
-    return op.upsert_by(dimension(spark, "destination_answers"), new, ["dest_key"])
+    """A destination's last answer replaces the one there was."""
+    return op.upsert_by(derived(spark, sf, "customer_answers"), derived(spark, sf, "new_answers"), ["dest_key"])
 
 
-@query("SELECT 'small ring' AS pattern, 'starts_with' AS match_type, CAST(NULL AS VARCHAR) AS direction, 'Gifts' AS category UNION ALL SELECT 'lamp', 'contains', 'out', 'Home' UNION ALL SELECT pattern, match_type, direction, category FROM (VALUES ('widget', 'contains', 'out', 'Tools'), ('red bolt brand 4', 'exact', NULL, 'Tools'), ('^(old|new) g(ear|izmo)', 'regex', NULL, 'Machines'), ('salary', 'starts_with', 'in', 'Income'), ('anvil', 'contains', NULL, 'Tools'), ('cold', 'contains', NULL, 'Various'), ('widget', 'contains', 'in', 'Refunds')) t(pattern, match_type, direction, category)")
+@query(derived_oracle("SELECT pattern, match_type, direction, CASE WHEN priority % 5 = 0 THEN 'Gifts' ELSE category END AS category FROM part_rules WHERE priority % 7 <> 0 OR priority % 5 = 0 UNION ALL SELECT * FROM supplier_rules", "part_rules", "supplier_rules"))
 def mut_rule_crud(spark: S, sf: str) -> D:
-    """A rule is one by (pattern, match type, direction): the first new one replaces, the second comes in."""
-    rules = dimension(spark, "rules").select("pattern", "match_type", F.col("direction").cast("string").alias("direction"), "category")
-    new = spark.createDataFrame([("small ring", "starts_with", None, "Gifts"), ("lamp", "contains", "out", "Home")], "pattern string, match_type string, direction string, category string")
-    return op.upsert_by(rules, new, ["pattern", "match_type", "direction"])
+    """A rule is one by (pattern, match type, direction): some are deleted, some replaced (after that), others come in."""
+    columns, rules = ["pattern", "match_type", "direction", "category"], derived(spark, sf, "part_rules")
+    changed = rules.filter("priority % 5 = 0").withColumn("category", F.lit("Gifts")).select(columns)
+    return op.upsert_by(rules.filter("priority % 7 <> 0").select(columns), changed.unionByName(derived(spark, sf, "supplier_rules")), columns[:3])
 
 
-@query("SELECT 'ECONOMY' AS category, 20.0::DOUBLE AS target_pct UNION ALL SELECT 'Pets', 3.0 UNION ALL SELECT 'MEDIUM', 12.5 UNION ALL SELECT 'LARGE', 30.0 UNION ALL SELECT 'Housing', 10.0")
+@query(derived_oracle("SELECT category, coalesce(n.target_pct, b.target_pct) AS target_pct FROM (SELECT * FROM part_budget WHERE target_pct <> 0) b FULL JOIN new_budget n USING (category)", "part_budget", "new_budget"))
 def mut_budget(spark: S, sf: str) -> D:
-    """Two targets set, one deleted."""
-    budget = dimension(spark, "budget").select("category", F.col("target_pct").cast("double").alias("target_pct")).filter("category <> 'STANDARD'")
-    return op.upsert_by(budget, spark.createDataFrame([("ECONOMY", 20.0), ("Pets", 3.0)], "category string, target_pct double"), ["category"])
+    """Targets of zero are deleted, then targets are set."""
+    return op.upsert_by(derived(spark, sf, "part_budget").filter("target_pct <> 0"), derived(spark, sf, "new_budget"), ["category"])
 
 
 @query(oracle("SELECT id, CASE category WHEN 'Income BUILDING' THEN 'Site' WHEN 'Income MACHINERY' THEN NULL ELSE category END AS category, CASE WHEN category <> 'Income MACHINERY' OR category IS NULL THEN subcategory END AS subcategory FROM ledger"))

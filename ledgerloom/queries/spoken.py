@@ -1,4 +1,4 @@
-"""Queries: spoken amounts, every order's total said in one of five ways and read back."""
+"""Queries: every order's total said in one of five ways, its date in one of eight, and read back."""
 
 from __future__ import annotations
 
@@ -25,3 +25,27 @@ def fn_spoken_amount(spark: SparkSession, sf: str) -> DataFrame:
     )
     read = orders.filter((way != 4) | (c > 0)).select("o_orderkey", spoken.amount(said).alias("a"))
     return read.select("o_orderkey", F.col("a.value").cast("double").alias("amount"), F.col("a.cents_said").alias("cents_said"))
+
+
+#: Without a year, the 29th of February is no date in a year that has none.
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 8 AS INTEGER) AS way, CAST(o_custkey AS INTEGER) AS c FROM orders)
+SELECT o_orderkey, CASE WHEN NOT (way IN (2, 7) AND month(d) = 2 AND day(d) = 29 AND day(last_day(make_date(year(d + c % 300), 2, 1))) = 28) THEN d END AS said FROM o""")
+def fn_spoken_date(spark: SparkSession, sf: str) -> DataFrame:
+    """In figures with a year, in words with a year, day and short month, words like "ieri", weekdays with and without "scorso", day alone, ordinals, figures without a year."""
+    d, c, way = F.col("o_orderdate").cast("date"), F.col("o_custkey").cast("int"), F.col("o_orderkey") % 8
+    number = F.dayofmonth(d)
+    name = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), i)
+    month = F.month(d) - 1
+    later = F.when(way.isin(2, 7), c % 300).when(way == 3, c % 3).when(way == 4, c % 7 + F.when(c % 2 == 0, 1).otherwise(0)).when(way.isin(5, 6), c % 28).otherwise(0)
+    ordinal = F.when(number <= 10, name(spoken.ORDINALS, number - 1)).otherwise(spoken.spell(number))
+    text = (
+        F.when(way == 0, F.concat(F.lit("pane 3,50 euro il "), F.date_format(d, "dd/MM/yyyy")))
+        .when(way == 1, F.concat(F.lit("Speso il "), spoken.spell(number), F.lit(" di "), name(spoken.MONTH_NAMES, month), F.date_format(d, " yyyy")))
+        .when(way == 2, F.concat(F.lit("spesa del "), number.cast("string"), F.lit(" "), name(spoken.MONTH_SHORT, month)))
+        .when(way == 3, F.concat(F.lit("spesa "), name(["Oggi", "ieri", "L\u2019altro ieri"], c % 3)))
+        .when(way == 4, F.concat(name(["Luned\u00ec", *spoken.WEEKDAYS[1:]], F.weekday(d)), F.when(c % 2 == 0, " scorso").otherwise(""), F.lit(" al bar")))
+        .when(way == 5, F.concat(F.lit("dal fornaio il "), number.cast("string")))
+        .when(way == 6, F.concat(ordinal, F.lit(" del mese")))
+        .otherwise(F.concat(F.lit("bolletta "), F.date_format(d, "d-M")))
+    )
+    return table(spark, sf, "orders").select("o_orderkey", spoken.date(text, F.date_add(d, later)).alias("said"))
