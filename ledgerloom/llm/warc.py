@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, broadcast_if_small, shuffle_partitions
 
 LEAST = 1000
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, HEAD = b"\x1f\x8b\x08", b"WARC/"
 RANGE_BYTES = 16 << 20
 STEP = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -118,7 +118,7 @@ class _File:
 
 
 def _member(f: _File, start: int, only_head: bool = False) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at start, or None if there is none. With only_head: what its first bytes give."""
+    """(content, end) of the gzip member at start, or None if there is none. With only_head: at least HEAD bytes of its content, if it has as many."""
     d, out, at = zlib.decompressobj(31), [], start
     while not d.eof:
         data = f.read(at, 512 if only_head else STEP)
@@ -128,8 +128,8 @@ def _member(f: _File, start: int, only_head: bool = False) -> tuple[bytes, int]
             out.append(d.decompress(data, 64) if only_head else d.decompress(data))
         except zlib.error:
             return None
-        if only_head and out[-1]:
-            return out[-1], at
+        if only_head and sum(map(len, out)) >= len(HEAD):  # a read may end early, at the end of a block
+            break
         at += len(data) - len(d.unused_data)
     return b"".join(out), at
 
@@ -152,7 +152,7 @@ def scan(uri: str, start: int, end: int) -> Iterator[bytes]:
         if at >= end:
             return
         head = _member(f, at, only_head=True)
-        whole = _member(f, at) if head and head[0].startswith(b"WARC/") else None
+        whole = _member(f, at) if head and head[0].startswith(HEAD) else None
         if whole is None:
             at += 1
             continue
