@@ -123,7 +123,7 @@ def features(docs: DataFrame, space: Workspace) -> DataFrame:
 
 def _views(t: pa.Array, m: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Dense matrices of both views."""
-    xt = t.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+    xt = t.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1 if len(t) else 1)
     xm = np.zeros((len(m), META))
     xm[np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy())), m.flatten().to_numpy()] = 1.0
     return xt, xm
