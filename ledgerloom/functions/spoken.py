@@ -27,6 +27,11 @@ DATE_MONTH = rf"\b(?:{ARTICLE})?{DAY}\s+(?:di\s+)?({'|'.join(MONTH_NAMES + MONTH
 DATE_RELATIVE = rf"\b(?:{DAY_BEFORE}|{'|'.join(YESTERDAY + TODAY)})\b"
 DATE_WEEKDAY = rf"\b({'|'.join(WEEKDAYS)})(\s+scors[oa])?\b"
 DATE_DAY = rf"\b(?:{ARTICLE}{DAY}(?:\s+del\s+mese)?|{DAY}\s+del\s+mese)\b"
+#: Words that say nothing about a category.
+STOP = (
+    "il lo la i gli le un uno una di da in con su per tra fra a al allo alla ai agli alle del dello della dei degli delle dal dalla nel nella sul sulla "
+    "e o ed che quella quello questa questo mi ho ha era categoria l d"
+).split()
 
 
 def _said() -> list[str]:
@@ -63,14 +68,29 @@ def number(word: Column) -> Column:
     return F.when(word.rlike("^[0-9]+$"), word.try_cast("bigint")).otherwise(value.cast("bigint"))
 
 
+def plain(text: Column) -> Column:
+    """Lower case without accents and apostrophes, the euro sign as a word."""
+    return F.regexp_replace(F.replace(_folded(text), F.lit("€"), F.lit(" euro ")), "['`\u2019]", " ")
+
+
+def content(text: Column, numbers: bool = False) -> Column:
+    """The words of a text without stop words, and without numbers unless ``numbers``; empty for null."""
+    found = F.regexp_extract_all(plain(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*STOP) & (F.lit(numbers) | w.rlike("[a-z]")))
+
+
+def stem(word: Column) -> Column:
+    """Singular and plural, masculine and feminine as one: words of four letters and more lose a last vowel (not u)."""
+    return F.when((F.length(word) >= 4) & word.rlike("[aeio]$"), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
 def amount(text: Column) -> Column:
     """(value, cents_said) of the first amount in a text, or null; both fields are null for a written amount of zero.
 
     A number counts with the cents after "e", "virgola", "punto" or straight after the euro word; "virgola 4" is forty cents. A
     zero counts only with cents. Null and empty texts have none; runs of digits beyond 14 places aren't read.
     """
-    plain = F.replace(_folded(text), F.lit("€"), F.lit(" euro "))
-    tokens = F.regexp_extract_all(plain, F.lit(WRITTEN + r"|\d+|[a-z]+"), F.lit(0))
+    tokens = F.regexp_extract_all(F.replace(_folded(text), F.lit("€"), F.lit(" euro ")), F.lit(WRITTEN + r"|\d+|[a-z]+"), F.lit(0))
 
     def read(tok: Column) -> Column:
         bare = F.when(F.contains(tok, F.lit(",")), F.translate(tok, ".", "")).otherwise(tok)
@@ -112,7 +132,7 @@ def date(text: Column, today: Column) -> Column:
     means today unless "scorso" follows. Days that a month doesn't have are no dates. Where several are of one kind the first
     counts. A null text or null today gives null, the latter only where a year isn't said.
     """
-    plain = F.regexp_replace(_folded(text), "['`\u2019]", " ")
+    said = plain(text)
     year = F.year(today)
 
     def day(y: Column, m: Column, d: Column) -> Column:
@@ -127,7 +147,7 @@ def date(text: Column, today: Column) -> Column:
         return F.coalesce(_map({w: n for n, w in enumerate(ORDINALS, 1)})[word], number(word).cast("int"))
 
     def all_of(pattern: str) -> Column:
-        return F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+        return F.regexp_extract_all(said, F.lit(pattern), F.lit(0))
 
     def first_of(found: Column, read) -> Column:
         return F.get(F.filter(F.transform(found, read), lambda d: d.isNotNull()), F.lit(0))
