@@ -4,7 +4,7 @@ from importlib import import_module
 
 from ..plans.registry import ORACLES, QUERIES
 
-MODULES = ("filters", "aggregates", "closeness", "joins", "windows", "functions", "mutations", "columns", "records", "retrieval", "sources", "spoken", "store", "streams")
+MODULES = ("filters", "aggregates", "closeness", "joins", "windows", "functions", "mutations", "columns", "edges", "records", "retrieval", "sources", "spoken", "store", "streams")
 for _m in MODULES:
     import_module(f".{_m}", __name__)
 
