@@ -132,7 +132,15 @@ def date(text: Column, today: Column) -> Column:
     means today unless "scorso" follows. Days that a month doesn't have are no dates. Where several are of one kind the first
     counts. A null text or null today gives null, the latter only where a year isn't said.
     """
-    said = plain(text)
+    return _let(F.struct(plain(text).alias("said"), today.alias("today")), lambda x: _date(x["said"], x["today"]))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _date(said: Column, today: Column) -> Column:
     year = F.year(today)
 
     def day(y: Column, m: Column, d: Column) -> Column:
@@ -140,27 +148,22 @@ def date(text: Column, today: Column) -> Column:
         return F.when((y >= 1) & m.between(1, 12) & d.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, d - 1))
 
     def passed(m: Column, d: Column) -> Column:
-        this = day(year, m, d)
-        return F.when(this <= today, this).when(this.isNotNull(), day(year - 1, m, d))
+        return _let(day(year, m, d), lambda this: F.when(this <= today, this).when(this.isNotNull(), day(year - 1, m, d)))
 
     def number_of(word: Column) -> Column:
-        return F.coalesce(_map({w: n for n, w in enumerate(ORDINALS, 1)})[word], number(word).cast("int"))
+        return _let(word, lambda w: F.coalesce(_map({o: n for n, o in enumerate(ORDINALS, 1)})[w], number(w).cast("int")))
 
-    def all_of(pattern: str) -> Column:
-        return F.regexp_extract_all(said, F.lit(pattern), F.lit(0))
-
-    def first_of(found: Column, read) -> Column:
-        return F.get(F.filter(F.transform(found, read), lambda d: d.isNotNull()), F.lit(0))
+    def chosen(d: Column, m: Column, y: Column) -> Column:
+        return _let(F.struct(d.alias("d"), m.alias("m"), y.alias("y")), lambda x: F.when(x["y"].isNull(), passed(x["m"], x["d"])).otherwise(day(x["y"], x["m"], x["d"])))
 
     def written(hit: Column) -> Column:
         part = lambda i: F.get(F.split(hit, "[/.-]"), F.lit(i))
         d, m, y = (part(i).try_cast("int") for i in range(3))
-        return F.when(y.isNull(), passed(m, d)).otherwise(day(F.when(F.length(part(2)) == 2, y + 2000).otherwise(y), m, d))
+        return chosen(d, m, F.when(F.length(part(2)) == 2, y + 2000).otherwise(y))
 
     def with_month(hit: Column) -> Column:
         names = {w: n for words in (MONTH_NAMES, MONTH_SHORT) for n, w in enumerate(words, 1)}
-        d, m, y = number_of(F.regexp_extract(hit, DATE_MONTH, 1)), _map(names)[F.regexp_extract(hit, DATE_MONTH, 2)], F.regexp_extract(hit, DATE_MONTH, 3).try_cast("int")
-        return F.when(y.isNull(), passed(m, d)).otherwise(day(y, m, d))
+        return chosen(number_of(F.regexp_extract(hit, DATE_MONTH, 1)), _map(names)[F.regexp_extract(hit, DATE_MONTH, 2)], F.regexp_extract(hit, DATE_MONTH, 3).try_cast("int"))
 
     def relative(hit: Column) -> Column:
         return F.date_sub(today, F.when(hit.isin(*TODAY), 0).when(hit.isin(*YESTERDAY), 1).otherwise(2))
@@ -170,13 +173,16 @@ def date(text: Column, today: Column) -> Column:
         return F.date_sub(today, F.when((back == 0) & (F.regexp_extract(hit, DATE_WEEKDAY, 2) != ""), 7).otherwise(back))
 
     def alone(hit: Column) -> Column:
-        d = number_of(F.concat(F.regexp_extract(hit, DATE_DAY, 1), F.regexp_extract(hit, DATE_DAY, 2)))
         # No month has fewer than 28 days, and of two in a row one has 31.
         months = [F.add_months(F.trunc(today, "month"), -k) for k in range(3)]
-        return F.coalesce(*[F.when(at <= today, at) for at in (day(F.year(m), F.month(m), d) for m in months)])
+        d = number_of(F.concat(F.regexp_extract(hit, DATE_DAY, 1), F.regexp_extract(hit, DATE_DAY, 2)))
+        return _let(d, lambda n: F.coalesce(*[_let(day(F.year(m), F.month(m), n), lambda at: F.when(at <= today, at)) for m in months]))
+
+    def first_of(pattern: str, read) -> Column:
+        return F.get(F.filter(F.transform(F.regexp_extract_all(said, F.lit(pattern), F.lit(0)), read), lambda d: d.isNotNull()), F.lit(0))
 
     kinds = ((DATE_WRITTEN, written), (DATE_MONTH, with_month), (DATE_RELATIVE, relative), (DATE_WEEKDAY, weekday), (DATE_DAY, alone))
-    return F.coalesce(*[first_of(all_of(pattern), read) for pattern, read in kinds])
+    return F.coalesce(*[first_of(pattern, read) for pattern, read in kinds])
 
 
 def spell(n: Column, elide: bool = False) -> Column:
