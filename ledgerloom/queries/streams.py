@@ -18,7 +18,7 @@ def _local(df: D) -> D:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: S, sf: str) -> D:
-    return _local(op.run(op.tumbling(op.source(spark, sf, "events")), "tumbling", "complete"))
+    return _local(op.run(op.tumbling(op.source(spark, sf, "events")), "tumbling", "update", keys=["start", "event_type"]))
 
 
 @query("SELECT min(ts) AS start, user_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.amounts import cents
 from ..operators.mutations import hold
@@ -36,7 +37,7 @@ def ingest(arrivals: DataFrame, space: Workspace, today: Column) -> tuple[DataFr
     columns = arrivals.columns
 
     def stored(name: str) -> DataFrame:
-        return space.spark.read.schema(arrivals.schema.add("batch", "long")).parquet(space.path(name))
+        return space.spark.read.schema(T.StructType([*arrivals.schema, T.StructField("batch", T.LongType())])).parquet(space.path(name))
 
     def write(batch: DataFrame, number: int) -> None:
         named = batch.filter("id is not null").groupBy("id").agg(F.min(F.struct(*[c for c in columns if c != "id"])).alias("r")).select("id", "r.*")
