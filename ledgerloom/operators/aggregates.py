@@ -212,3 +212,9 @@ def correction_stats(df: DataFrame, corrections: DataFrame) -> DataFrame:
     rows = still.join(fixed, F.col("category_source") == F.col("o"), "full")
     k, c = F.coalesce("kept", F.lit(0)), F.coalesce("corrected", F.lit(0))
     return rows.select(F.coalesce("category_source", "o").alias("source"), k.alias("kept"), c.alias("corrected"), F.round(100 * k / (k + c), 1).alias("accuracy"))
+
+
+def fallbacks(taxonomy: DataFrame) -> DataFrame:
+    """(direction, category, subcategory): each direction's last fallback of a taxonomy (direction, category, subcategory, sort_order, is_fallback)."""
+    g = taxonomy.filter("is_fallback").groupBy("direction").agg(F.max_by(F.struct("category", "subcategory"), "sort_order").alias("f"))
+    return g.select("direction", "f.category", "f.subcategory")

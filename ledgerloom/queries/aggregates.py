@@ -459,8 +459,7 @@ def op_taxonomy_cfg(spark: S, sf: str) -> D:
 
 @query(derived_oracle("SELECT direction, category, subcategory FROM part_taxonomy WHERE is_fallback QUALIFY row_number() OVER (PARTITION BY direction ORDER BY sort_order DESC) = 1", "part_taxonomy"))
 def op_fallbacks(spark: S, sf: str) -> D:
-    g = derived(spark, sf, "part_taxonomy").filter("is_fallback").groupBy("direction").agg(F.max_by(F.struct("category", "subcategory"), "sort_order").alias("f"))
-    return g.select("direction", "f.category", "f.subcategory")
+    return op.fallbacks(derived(spark, sf, "part_taxonomy"))
 
 
 query("SELECT 'events' AS name, CAST(count(*) AS BIGINT) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders", "op_db_info")(

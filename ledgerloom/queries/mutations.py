@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates
 from ..operators import mutations as op
-from .aggregates import _PROFILES, op_fallbacks
+from .aggregates import _PROFILES
 from .common import dimension, ledger, oracle, query
 from .joins import _BRAND_SQL, _RULE_SQL
 
@@ -90,4 +90,4 @@ _PICK = "CASE WHEN l.rule_id IS NOT NULL THEN {0} WHEN pr.confidence >= 0.9 THEN
 )
 def casc_categorize(spark: S, sf: str) -> D:
     df = ledger(spark, sf)
-    return op.categorize(df, dimension(spark, "rules"), aggregates.profiles(aggregates.associations(df)), dimension(spark, "brands"), dimension(spark, "brand_taxonomy"), "IT", op_fallbacks(spark, sf))
+    return op.categorize(df, dimension(spark, "rules"), aggregates.profiles(aggregates.associations(df)), dimension(spark, "brands"), dimension(spark, "brand_taxonomy"), "IT", aggregates.fallbacks(dimension(spark, "taxonomy")))
