@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources import store
 from ..storage import Workspace
-from ..streaming import events
 from ..streaming import ledger as streams
 from .common import ledger, oracle, query
 from .joins import _CAND
@@ -61,10 +60,11 @@ def stream_ingest(spark: S, sf: str) -> D:
 @query(oracle("SELECT * FROM cand", _CAND))
 def stream_pairs(spark: S, sf: str) -> D:
     """Rows that arrive two years at a time; the join goes on from its checkpoint each turn."""
-    df, space = ledger(spark, sf), Workspace(spark, "pairs")
+    space = Workspace(spark, "pairs")
+    df = space.save(ledger(spark, sf).select("id", "date", "amount", "account_label", "tx_type"), "rows")  # read every turn
     inbox, found = streams.Inbox(space, df), None
     first, last = df.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
     for year in range(first or 0, (last or 0) + 1, 2):
         inbox.land(df.filter(F.year("date").between(year, year + 1)))
-        found = events.run(streams.pair_candidates(inbox.stream(), inbox.stream()), "pairs", space=space)
+        found = streams.pair_arrivals(inbox.stream(), space)
     return found

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.matching import transfer_key, transfer_reach
+from ..operators.matching import meeting, transfer_key, transfer_reach
 from ..operators.mutations import hold
 from ..storage import Workspace
 from ..types import ALWAYS_DROPPED
@@ -73,3 +73,28 @@ def pair_candidates(outs: DataFrame, ins: DataFrame, tolerance: int = 1, days: i
     gap = F.abs(F.datediff("out_at", "in_at"))
     a, b = F.col("out_marked"), F.col("in_marked")
     return met.select("out_id", "in_id", F.when(a & b, "high").when(a | b, "medium").when(gap <= strict_days, "low").alias("confidence"), gap.alias("days")).filter("confidence is not null")
+
+
+def pair_arrivals(arrivals: DataFrame, space: Workspace, tolerance: int = 1, days: int = 5, strict_days: int = 1) -> DataFrame:
+    """(out_id, in_id, confidence, days) of all that has arrived, each pair once its second side has; goes on from its checkpoint.
+
+    What earlier batches wrote is the memory, as in ``ingest``: a batch meets itself and the stored rows within ``days`` of its
+    dates. So no row is too late, and no state store holds the rows. A batch that runs again writes the same folders.
+    """
+    slim = arrivals.select("id", "date", "amount", "account_label", "tx_type")
+
+    def stored(name: str, fields: list[T.StructField]) -> DataFrame:
+        return space.spark.read.schema(T.StructType([*fields, T.StructField("batch", T.LongType())])).option("basePath", space.path(name)).parquet(space.path(name))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(space.path(f"arrived/batch={number}"))
+        known = stored("arrived", slim.schema.fields)
+        mine = known.filter(F.col("batch") == number)
+        low, high = mine.agg(F.min("date"), F.max("date")).first()
+        near = (F.col("date") >= F.date_sub(F.lit(low).cast("date"), days)) & (F.col("date") <= F.date_add(F.lit(high).cast("date"), days))
+        rows = mine.unionByName(known.filter((F.col("batch") < number) & near))
+        meeting(rows, F.col("batch") == number, tolerance, days, strict_days).write.mode("overwrite").parquet(space.path(f"pairs/batch={number}"))
+
+    slim.writeStream.option("checkpointLocation", space.path("checkpoint")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    found = [T.StructField("out_id", T.StringType()), T.StructField("in_id", T.StringType()), T.StructField("confidence", T.StringType()), T.StructField("days", T.IntegerType())]
+    return stored("pairs", found).drop("batch")

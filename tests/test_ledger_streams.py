@@ -67,3 +67,15 @@ def test_pairs_of_many_turns_equal_the_batch_join(spark):
     assert sorted(map(tuple, got.collect())) == expected
     assert 0 < turns[0] < turns[1] < turns[2] == len(expected)
     assert ("cent-o", "cent-i", "medium", 4) in expected
+
+
+def test_pairs_of_arrivals_lose_no_late_row(spark):
+    data = [("o1", 10, -50, "A", "internal_out"), ("i1", 12, 50, "B", None), ("o2", 150, -7, "A", None), ("i2", 151, 7, "B", None), ("i3", 149, 7, "A", None), ("none", None, 7, "B", None)]
+    df, space = rows(spark, data), Workspace(spark, "arrivals")
+    inbox, seen = streams.Inbox(space, df), []
+    assert streams.pair_arrivals(inbox.stream(), space).count() == 0
+    for some in (["o1", "i2", "none"], ["o2"], ["i1", "i3"]):  # i1 comes behind rows 138 days newer
+        inbox.land(df.filter(F.col("id").isin(some)))
+        seen.append(sorted(tuple(r) for r in streams.pair_arrivals(inbox.stream(), space).collect()))
+    assert seen == [[], [("o2", "i2", "low", 1)], sorted(map(tuple, matching.transfer_candidates(df).collect()))]
+    assert ("o1", "i1", "medium", 2) in seen[-1]
