@@ -25,6 +25,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).drop("modificationTime", "length")
 
 
+def joined(lines: DataFrame, file: str, head: str) -> DataFrame:
+    """(file, content) of lines (file, row_num, value): one file a row, as ``read`` gives them, a head line first."""
+    ordered = F.array_sort(F.collect_list(F.struct("row_num", "value")))
+    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform(ordered, lambda x: x["value"]), "\n"), F.lit("\n"))
+    return lines.groupBy(file).agg(text.cast("binary").alias("content"))
+
+
 def file_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
@@ -60,12 +67,13 @@ def delimiter(text: Column) -> Column:
 
 def cells(line: Column, sep: Column) -> Column:
     """Trimmed cells of a line. Separators inside double quotes don't split; quotes around a cell go, doubled ones become one."""
-    # Quoted parts carry their separators as a control character through the split.
+    split = lambda text: F.split(text, F.concat(F.lit("\\Q"), sep, F.lit("\\E")))
+    # Quoted parts carry their separators as a control character through the split; most lines have neither.
     quoted = F.regexp_extract_all(line, F.lit(r'"(?:[^"]|"")*"|[^"]+|"'), F.lit(0))
     hidden = F.transform(quoted, lambda part: F.when(part.rlike('^".*"$'), F.replace(part, sep, F.lit("\u0001"))).otherwise(part))
-    parts = F.split(F.array_join(hidden, ""), F.concat(F.lit("\\Q"), sep, F.lit("\\E")))
+    parts = split(F.array_join(hidden, ""))
     bare = lambda c: F.replace(F.regexp_replace(F.trim(F.replace(c, F.lit("\u0001"), sep)), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
-    return F.transform(parts, bare)
+    return F.when(line.contains('"') | line.contains("\u0001"), F.transform(parts, bare)).otherwise(F.transform(split(line), lambda c: F.trim(c)))
 
 
 def header(rows: Column, sep: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import pytest
 
+from ledgerloom.sources import bank_files
+from ledgerloom.storage import Workspace
 from ledgerloom.sources import columns as op
 
 N = 40
@@ -66,3 +68,15 @@ def test_dates_by_position_and_by_name(spark):
     assert {r["file"]: (r["date"], r["booking"]) for r in op.date_columns(p).collect()} == {f: (0, 3) for f in (1, 2, 3)}
     names = spark.createDataFrame([(1, 0, "Booked"), (1, 3, "Made"), (2, 0, "BOOKED on"), (2, 3, "?"), (3, 0, "a"), (3, 3, "made on")], "file long, col int, name string")
     assert {r["file"]: (r["date"], r["booking"]) for r in op.date_columns(p, names=names, operation="made", booking="booked").collect()} == {1: (3, 0), 2: (0, None), 3: (3, 0)}
+
+
+def test_files_of_the_query_are_rows_of_few_tables(spark, monkeypatch):
+    """Three files with quotes and blanks come back as they went; storage doesn't hold an object a file."""
+    lines = [(f, n, v) for f in range(3) for n, v in ((2, "b; c ;"), (1, '"x;y";"say ""hi""";z'))]
+    files = bank_files.joined(spark.createDataFrame(lines, "file long, row_num int, value string"), "file", "A;B;C")
+    got = bank_files.rows(bank_files.probe(Workspace(spark, "t").save(files, "in")), ["file"]).orderBy("file", "row_num").collect()
+    assert [(r["file"], r["cells"]) for r in got] == [(f, c) for f in range(3) for c in (["x;y", 'say "hi"', "z"], ["b", "c", ""])]
+    monkeypatch.setattr(bank_files, "read", None)  # a listing with one object a bank file
+    from ledgerloom.queries import columns
+
+    assert columns._table(spark, "/root/testdata/sf0.001").select("file").distinct().count() == 3
