@@ -13,8 +13,9 @@ from itertools import permutations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INNER_APOSTROPHE = r"(?<=[\p{L}\p{N}])['’](?=[\p{L}\p{N}])"
-_SINGLE_LETTERS = r"(?<=(?:^|\s)\p{L}) (?=\p{L}(?:\s|$))"
+# Both start with what they take out, so that other characters cost one comparison.
+_INNER_APOSTROPHE = r"['’](?<=[\p{L}\p{N}]['’])(?=[\p{L}\p{N}])"
+_SINGLE_LETTERS = r" (?<=(?:^|\s)\p{L} )(?=\p{L}(?:\s|$))"
 
 
 @cache
@@ -43,13 +44,29 @@ def join_initials(spaced: Column) -> Column:
     return F.regexp_replace(spaced, _SINGLE_LETTERS, "")
 
 
-def exact_key(text: Column | str) -> Column:
-    """What an exact match compares: no case, no accents, no punctuation, initials joined, apostrophes inside words gone."""
-    s = strip_accents(F.regexp_replace(_text(text), _INNER_APOSTROPHE, ""))
+def _ascii(text: Column) -> Column:
+    """Only ASCII characters: no accents, marks or letters of other alphabets to look for."""
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _ascii_key(t: Column) -> Column:
+    """``_any_key`` of ASCII texts."""
+    s = F.when(F.contains(t, F.lit("'")), F.regexp_replace(t, _INNER_APOSTROPHE, "")).otherwise(t)
+    return join_initials(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+
+
+def _any_key(t: Column) -> Column:
+    s = strip_accents(F.regexp_replace(t, _INNER_APOSTROPHE, ""))
     s = F.replace(F.lower(s), F.lit("ß"), F.lit("ss"))
     return join_initials(F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
 
 
+def exact_key(text: Column | str) -> Column:
+    """What an exact match compares: no case, no accents, no punctuation, initials joined, apostrophes inside words gone."""
+    t = _text(text)
+    return F.when(_ascii(t), _ascii_key(t)).otherwise(_any_key(t))
+
+
 def words(text: Column | str) -> Column:
     """ASCII words in upper case, as an array."""
     s = F.upper(strip_accents(F.regexp_replace(_text(text), _INNER_APOSTROPHE, "")))
@@ -70,8 +87,10 @@ def counterpart_case(text: Column) -> Column:
 
 def raw_signature(raw: Column | str, least: int = 2) -> Column:
     """What stays of a bank's text from month to month: words without digits; empty with fewer than ``least``."""
-    kept = F.filter(F.split(exact_key(tidy(raw)), " "), lambda w: (w != "") & ~w.rlike("[0-9]"))
-    return F.when(F.size(kept) >= least, F.array_join(kept, " ")).otherwise("")
+    t = _text(raw)
+    # The key of an ASCII text is that of the tidied one. Keys have one space between words.
+    kept = F.trim(F.regexp_replace(F.when(_ascii(t), _ascii_key(t)).otherwise(_any_key(tidy(t))), "(?:^| )[^ ]*[0-9][^ ]*", ""))
+    return kept if least <= 1 else F.when(F.size(F.split(kept, " ")) >= least, kept).otherwise("")
 
 
 def own_name_key(raw: Column | str, amount: Column) -> Column:

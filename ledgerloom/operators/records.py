@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import exact_key, own_name_direction_key, own_name_key
-from ..storage import broadcast_if_small
+from ..storage import Workspace, broadcast_if_small
 from ..types import AUTOMATIC_SOURCES, INTERNAL
 from . import intermediaries
 from .filters import direction
@@ -88,6 +88,12 @@ def set_context(df: DataFrame, chosen: Column, context: str | None) -> DataFrame
     return _change(df, df.columns, chosen, context=F.lit(context).cast("string"))
 
 
+def _asked(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of df with one of the ids, written: keys are made of these rows only, and df is read once for them."""
+    space = Workspace(df.sparkSession, name)
+    return space.save(df.join(broadcast_if_small(space.save(ids, "ids")), "id"), "asked")
+
+
 def own_name(df: DataFrame, named: DataFrame, any_amount: bool = False) -> DataFrame:
     """named: (id, name). Every row with the key of a named one takes its name, and its category where the user left that open.
 
@@ -97,8 +103,8 @@ def own_name(df: DataFrame, named: DataFrame, any_amount: bool = False) -> DataF
     key = (own_name_direction_key if any_amount else own_name_key)("raw_description", F.col("amount"))
     given = named.filter(F.trim("name") != "").groupBy("id").agg(F.min("name").alias("name"))
     facts = F.struct("id", "name", "tx_type", "category", "subcategory", "category_source", (decided_by_user() | _true("human_validated")).alias("decided"))
+    by_key = _asked(df, given, "own-name").withColumn("__key", key).filter("__key is not null").groupBy("__key").agg(F.min_by(facts, "id").alias("__ref"))
     keyed = df.withColumn("__key", key)
-    by_key = keyed.filter("__key is not null").join(given, "id").groupBy("__key").agg(F.min_by(facts, "id").alias("__ref"))
     ref = F.col("__ref")
     j = keyed.join(broadcast_if_small(by_key), "__key", "left")
     other = ref.isNotNull() & (F.col("id") != ref["id"])
@@ -120,9 +126,10 @@ def own_name(df: DataFrame, named: DataFrame, any_amount: bool = False) -> DataF
 
 def same_movements(df: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, other_id, same_amount) for the asked ids: rows of the same bank text and direction, with the same amount or another."""
-    keyed = df.select("id", own_name_direction_key("raw_description", F.col("amount")).alias("key"), F.round("amount", 2).alias("cents")).filter("key is not null")
-    asked = keyed.join(ids.select("id").distinct(), "id").select("id", "key", "cents")
-    others = keyed.select(F.col("id").alias("other_id"), "key", F.col("cents").alias("other_cents"))
+    rows = df.select("id", "raw_description", "amount")
+    keyed = lambda d: d.select("id", own_name_direction_key("raw_description", F.col("amount")).alias("key"), F.round("amount", 2).alias("cents")).filter("key is not null")
+    asked, others = keyed(_asked(rows, ids.select("id").distinct(), "same-movements")), keyed(rows)
+    others = others.select(F.col("id").alias("other_id"), "key", F.col("cents").alias("other_cents"))
     return others.join(broadcast_if_small(asked), "key").filter("id <> other_id").select("id", "other_id", (F.col("cents") == F.col("other_cents")).alias("same_amount"))
 
 
