@@ -7,7 +7,8 @@ that no indexed text has weighs its share. Scores are cosines, rounded to nine d
 Scale. The index is three written tables: terms (df, idf, salts), postings (term, salt, id, weight over the text's norm) and
 lengths. A term of more than ``HOT`` texts is cut into salts by the texts' ids, so no posting list is one task's, and its
 idf reaches the counts by a broadcast (there are at most as many hot terms as pairs over ``HOT``); others are joined by shuffle.
-Scores are sums over terms that two texts share, pre-aggregated before the shuffle. Nothing is collected.
+Scores are sums over terms that two texts share. Questions of up to ``BROADCAST_ROWS`` terms are sent to the postings, dealt by text,
+so that sums need no shuffle; more of them meet by term and salt, pre-aggregated before the shuffle. Nothing is collected.
 
 Defined results. Null texts are empty; texts without tokens are counted in N, match nothing and are matched by nothing. Rows that
 repeat an id are one text. An empty index or question table gives no rows. Extra columns are ignored.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Workspace, broadcast_if_small
+from ..storage import BROADCAST_ROWS, Workspace, broadcast_if_small
 
 HOT = 10_000
 #: The least score that counts, characters and entries of a selection, least score of a known question.
@@ -36,7 +37,8 @@ def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
 def term_shares(texts: DataFrame, id_col: str, text_col: str, stop: tuple[str, ...] = ()) -> DataFrame:
     """(id, term, tf): each term's share of its text's tokens."""
     rows = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col), stop).alias("tokens"))
-    counted = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    # Texts move once, by id; counting and shares need no other shuffle.
+    counted = rows.repartition("id").select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
     return counted.withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy("id"))).drop("n")
 
 
@@ -56,7 +58,7 @@ def _with_idf(shares: DataFrame, terms: DataFrame, how: str) -> DataFrame:
     t = terms.withColumnRenamed("term", "t_term")
     hot, cold, meets = t.filter("salts > 1"), t.filter("salts = 1"), F.col("term") == F.col("t_term")
     rest = shares.join(F.broadcast(hot.select(F.col("t_term").alias("h_term"))), F.col("term") == F.col("h_term"), "left_anti")
-    return shares.join(F.broadcast(hot), meets).unionByName(rest.join(cold, meets, how)).drop("t_term")
+    return shares.join(F.broadcast(hot), meets).unionByName(rest.join(broadcast_if_small(cold), meets, how)).drop("t_term")
 
 
 def unit(weights: DataFrame) -> DataFrame:
@@ -81,11 +83,19 @@ def vectors(index: Index, texts: DataFrame, id_col: str, text_col: str) -> DataF
     return known.select("id", "term", (F.col("tf") * F.coalesce("idf", F.lit(index.unseen))).alias("weight"), F.coalesce("salts", F.lit(0)).alias("salts"))
 
 
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def scores(index: Index, texts: DataFrame, id_col: str, text_col: str, least: float = 0.0) -> DataFrame:
     """(question, id, score) of every pair with a term in common and a score of at least ``least``."""
     asked = unit(vectors(index, texts, id_col, text_col)).filter("salts > 0")
-    spread = asked.select(F.col("id").alias("question"), "term", F.col("weight").alias("asked"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = spread.join(broadcast_if_small(index.postings), ["term", "salt"])
+    spread = Workspace(texts.sparkSession, "asked").save(asked.select(F.col("id").alias("question"), "term", F.col("weight").alias("asked"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "asked")
+    if _few(spread):
+        # Questions go to the texts: all terms that a pair shares lie in one task, so no pair moves before its score is known.
+        pairs = index.postings.repartition("id").join(F.broadcast(spread), ["term", "salt"])
+    else:
+        pairs = spread.join(broadcast_if_small(index.postings), ["term", "salt"])
     found = pairs.groupBy("question", "id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), DIGITS).alias("score"))
     return found.filter((F.col("score") >= least) & (F.col("score") > 0))
 

@@ -42,8 +42,9 @@ SELECT question, CAST(chosen - 1 AS INTEGER) AS position, id AS doc_id, score FR
 def topk_retrieval(spark: S, sf: str) -> D:
     """For every benchmark passage, the documents that fit the context."""
     docs = table(spark, sf, "documents")
-    index = op.build(docs, "doc_id", "text", Workspace(spark, "retrieval"), _STOP)
-    found = op.scores(index, table(spark, sf, "benchmark"), "item_id", "text", op.LEAST_SCORE)
+    space = Workspace(spark, "retrieval")
+    index = op.build(docs, "doc_id", "text", space, _STOP)
+    found = space.save(op.scores(index, table(spark, sf, "benchmark"), "item_id", "text", op.LEAST_SCORE), "found")  # read twice
     return op.within_budget(found, index.lengths).withColumnRenamed("id", "doc_id")
 
 

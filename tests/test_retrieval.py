@@ -90,3 +90,12 @@ def test_empty_tables(spark):
     for d, q in ((none, some), (some, none)):
         index = op.build(d, "id", "text", Workspace(spark, "retrieval-test"))
         assert op.within_budget(op.scores(index, q, "id", "text"), index.lengths).count() == 0
+
+
+def test_few_questions_move_no_pairs(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma{i % 3}") for i in range(50)], "id long, text string")
+    index = op.build(docs, "id", "text", Workspace(spark, "t"), STOP)
+    found = op.scores(index, docs.limit(5), "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(question" not in plan and "hashpartitioning(id" in plan
+    assert found.count() == 5 * 50
