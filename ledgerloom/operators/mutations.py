@@ -32,9 +32,13 @@ def upsert(ledger: DataFrame, new: DataFrame) -> DataFrame:
     return ledger.unionByName(fresh.select(*ledger.columns))
 
 
+def is_late(today: Column) -> Column:
+    return F.coalesce(F.col("date") > today, F.lit(False))
+
+
 def hold(df: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
     """(ledger rows, held rows): rows dated after today don't enter the ledger; rows without a date do."""
-    late = F.coalesce(F.col("date") > today, F.lit(False))
+    late = is_late(today)
     return df.filter(~late), df.filter(late)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.matching import meeting, transfer_key, transfer_reach
-from ..operators.mutations import hold
-from ..storage import Workspace
+from ..operators.mutations import is_late
+from ..storage import Workspace, spread
 from ..types import ALWAYS_DROPPED
 
 
@@ -36,20 +36,22 @@ def ingest(arrivals: DataFrame, space: Workspace, today: Column) -> tuple[DataFr
     """
     columns = arrivals.columns
 
-    def stored(name: str) -> DataFrame:
-        return space.spark.read.schema(T.StructType([*arrivals.schema, T.StructField("batch", T.LongType())])).parquet(space.path(name))
+    def stored() -> DataFrame:
+        schema = T.StructType([*arrivals.schema, T.StructField("late", T.BooleanType()), T.StructField("batch", T.LongType())])
+        return space.spark.read.schema(schema).option("basePath", space.path("stored")).parquet(space.path("stored"))
 
     def write(batch: DataFrame, number: int) -> None:
-        named = batch.filter("id is not null").groupBy("id").agg(F.min(F.struct(*[c for c in columns if c != "id"])).alias("r")).select("id", "r.*")
+        # Dealt by id before rows are compared, so rows move once and no task sorts more than its part.
+        dealt = spread(batch.filter("id is not null"), batch.count(), "id")
+        named = dealt.groupBy("id").agg(F.min(F.struct(*[c for c in columns if c != "id"])).alias("r")).select("id", "r.*")
         if number:
-            for name in ("rows", "held"):
-                named = named.join(stored(name).filter(F.col("batch") < number).select("id"), "id", "left_anti")
-        fresh = named.unionByName(batch.filter("id is null").select(*named.columns))
-        for name, part in zip(("rows", "held"), hold(fresh, today), strict=True):
-            part.select(*columns).write.mode("overwrite").parquet(space.path(f"{name}/batch={number}"))
+            named = named.join(stored().filter(F.col("batch") < number).select("id"), "id", "left_anti")
+        fresh = named.unionByName(batch.filter("id is null").select(*named.columns)).select(*columns, is_late(today).alias("late"))
+        # Both kinds in one pass.
+        fresh.write.mode("overwrite").partitionBy("late").parquet(space.path(f"stored/batch={number}"))
 
     arrivals.writeStream.option("checkpointLocation", space.path("ingest")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return stored("rows").select(*columns), stored("held").select(*columns)
+    return tuple(stored().filter(on).select(*columns) for on in ("not late", "late"))
 
 
 def pair_candidates(outs: DataFrame, ins: DataFrame, tolerance: int = 1, days: int = 5, strict_days: int = 1, late: str = "6 days") -> DataFrame:
