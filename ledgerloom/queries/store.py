@@ -27,7 +27,7 @@ pairs AS (SELECT x.id AS out_id, i.id AS in_id FROM ledger x JOIN ledger i ON i.
 )
 def snk_persist(spark: S, sf: str) -> D:
     """Two imports whose files overlap, read back: the second one's stored files are left out."""
-    rows = ledger(spark, sf).withColumn("sha256", F.sha2("source_file", 256))
+    rows = Workspace(spark, "imports").save(ledger(spark, sf), "ledger").withColumn("sha256", F.sha2("source_file", 256))  # read many times
     spend = rows.filter("id like 's-%'").select("id", "tx_type", "sha256", F.split("id", "-")[1].alias("k"))
     a = spend.filter("tx_type = 'card_settlement'").select("k", "sha256", F.col("id").alias("settlement_id"))
     b = spend.filter("tx_type = 'card_tx'").select("k", F.col("id").alias("detail_id"))
@@ -49,7 +49,8 @@ def snk_persist(spark: S, sf: str) -> D:
 @query(oracle("SELECT id, CASE WHEN date > DATE '2001-01-01' THEN 'held' ELSE 'ledger' END AS place FROM ledger"))
 def stream_ingest(spark: S, sf: str) -> D:
     """Files that arrive in three turns, many of them twice; the stream is started anew each turn."""
-    df, space = ledger(spark, sf), Workspace(spark, "ingest")
+    space = Workspace(spark, "ingest")
+    df = space.save(ledger(spark, sf), "ledger")  # read every turn
     inbox, today = streams.Inbox(space, df), F.lit(_TODAY).cast("date")
     for arrived in ("batch_id < 9", "batch_id between 6 and 14", "batch_id >= 12 or batch_id = 0"):
         inbox.land(df.filter(arrived))

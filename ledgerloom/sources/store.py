@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.mutations import hold
-from ..storage import Workspace
+from ..storage import Workspace, spread
 from ..types import LEDGER
 
 _S = T.StringType()
@@ -122,7 +122,7 @@ def _persist(store: Store, rows: DataFrame, transfers: DataFrame, settlements: D
     on_time, late = hold(fresh, today)
     held = late.withColumn("reason", F.lit("date_future")).unionByName(on_time.filter("id is null").withColumn("reason", F.lit("no_id")))
     others = [c for c in LEDGER.names if c not in ("id", "source_file")]
-    first = on_time.filter("id is not null").groupBy("id").agg(F.min(F.struct("source_file", *others)).alias("r")).select("id", "r.*")
+    first = spread(on_time.filter("id is not null"), fresh.count(), "id").groupBy("id").agg(F.min(F.struct("source_file", *others)).alias("r")).select("id", "r.*")
     stays = lambda links, *ends: _without(links.join(files, "sha256", "left_anti"), held, ends)
     moved = stays(transfers, "out_id", "in_id").select("out_id", "in_id", "confidence")
     settled = space.save(stays(settlements, "settlement_id", "detail_id").select("settlement_id", "detail_id", "delta", "method"), "settled")
