@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import exact_key
+from ..storage import Workspace
 from ..types import ALWAYS_DROPPED, AUTOMATIC_SOURCES, INTERNAL, NO_CATEGORY, NO_CONTEXT, NO_SUBCATEGORY, USER_SOURCES
 from .filters import direction
 
@@ -73,30 +74,40 @@ def budget(totals: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.unionByName(rest).select("category", "target_pct", F.round("actual_pct", 4).alias("actual_pct"), F.round(deviation, 4).alias("deviation"), status.alias("status"))
 
 
-def modal(df: DataFrame, keys: Sequence[str], values: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """Most frequent values per key (then the largest weight, then the smallest values), with its count: two grouped aggregates."""
-    counts = df.groupBy(*keys, *values).agg(F.count("*").alias("n"), F.sum(F.lit(0) if weight is None else weight).alias("w"))
+def modal(df: DataFrame, keys: Sequence[str], values: Sequence[str], weight: Column | None = None, count: Column | None = None) -> DataFrame:
+    """Most frequent values per key (then the largest weight, then the smallest values), with its count: two grouped aggregates.
+
+    count: how many rows a row of df stands for, one if not given.
+    """
+    counts = df.groupBy(*keys, *values).agg((F.count("*") if count is None else F.sum(count)).alias("n"), F.sum(F.lit(0) if weight is None else weight).alias("w"))
     order = F.struct(-F.col("n"), -F.col("w"), *values)
     best = counts.groupBy(*keys).agg(F.min_by(F.struct("n", *values), order).alias("m"), F.sum("n").alias("rows"), F.count("*").alias("kinds"))
     return best.select(*keys, *[F.col(f"m.{v}").alias(v) for v in values], F.col("m.n").alias("n"), "rows", "kinds")
 
 
 def counterparts(df: DataFrame) -> DataFrame:
-    """Per counterpart: counts, totals, modal category and subcategory, how it was categorised, its direction."""
-    keyed = df.withColumn("key", exact_key("description")).filter("key <> ''")
-    a = F.col("amount")
+    """Per counterpart: counts, totals, modal category and subcategory, how it was categorised, its direction.
+
+    Rows are counted by what they say first, on a written table, so df is read once and only distinct texts get a key.
+    """
+    a, n = F.col("amount"), F.sum("rows")
+    counted = df.groupBy("description", "category", "subcategory", "category_source").agg(
+        F.count("*").alias("rows"), F.sum(absolute()).alias("total"), F.count_if(a < 0).alias("spent"), F.count_if(a >= 0).alias("earned"), F.count_if(F.col("tx_type").isin(*INTERNAL)).alias("internal"),
+    )
+    keyed = Workspace(df.sparkSession, "counterparts").save(counted.withColumn("key", exact_key("description")).filter("key <> ''"), "counted")
     kinds = F.collect_set("category_source")
+    rows_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("rows"))), F.lit(0))
     base = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), double(F.sum(absolute())).alias("total"), (double(F.sum(absolute())) / F.count("*")).alias("mean"),
+        n.alias("n"), double(F.sum("total")).alias("total"), (double(F.sum("total")) / n).alias("mean"),
         F.when(F.size(kinds) == 0, "unknown").when(F.size(kinds) == 1, "single").otherwise("mixed").alias("source_mode"),
-        F.when(F.count_if(a < 0) == F.count("*"), "expense").when(F.count_if(a >= 0) == F.count("*"), "income").otherwise("mixed").alias("direction"),
-        F.count_if(F.col("category").isNull()).alias("uncategorized"), F.coalesce(F.bool_or(F.col("category_source").isin(*USER_SOURCES)), F.lit(False)).alias("by_user"),
-        (2 * F.count_if(F.col("tx_type").isin(*INTERNAL)) > F.count("*")).alias("mostly_internal"), F.count_if(F.col("category_source") == "multi").alias("n_multi"),
+        F.when(F.sum("spent") == n, "expense").when(F.sum("earned") == n, "income").otherwise("mixed").alias("direction"),
+        rows_if(F.col("category").isNull()).alias("uncategorized"), F.coalesce(F.bool_or(F.col("category_source").isin(*USER_SOURCES)), F.lit(False)).alias("by_user"),
+        (2 * F.sum("internal") > n).alias("mostly_internal"), rows_if(F.col("category_source") == "multi").alias("n_multi"),
     )
     known = keyed.filter("category is not null")
-    top = modal(known, ["key"], ["category"]).select("key", "category", F.col("n").alias("category_n"), F.col("kinds").alias("categories"))
+    top = modal(known, ["key"], ["category"], count=F.col("rows")).select("key", "category", F.col("n").alias("category_n"), F.col("kinds").alias("categories"))
     inside = known.join(top.select("key", "category"), ["key", "category"])
-    sub = modal(inside, ["key"], ["subcategory"]).select("key", "subcategory")
+    sub = modal(inside, ["key"], ["subcategory"], count=F.col("rows")).select("key", "subcategory")
     return base.join(top, "key", "left").join(sub, "key", "left")
 
 
