@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import table
+from ..storage import TASK_ROWS, table
 
 _COLUMNS = "id, batch_id, date, amount, currency, description, raw_description, source_file, doc_type, account_label, tx_type, category, subcategory, category_source, context, reconciled, to_review, human_validated, transfer_pair_id, created_at"
 
@@ -64,8 +64,32 @@ _TEXT = f"{_CTES}, ledger AS ({_UNION})"
 LEDGER_SQL = f"{_CTES}, ledger AS MATERIALIZED ({_UNION})".format(**{t: t for t in TABLES})
 
 
+#: Rows of a table that others are joined to, up to which Spark's own choice of join stays.
+OWN_CHOICE = 2_000_000
+#: By table: the key it is dealt by, and the table whose rows its join deals too.
+_DEALT = {"lineitem": ("l_orderkey", "lineitem"), "part": ("p_partkey", "lineitem"), "customer": ("c_custkey", "orders")}
+
+
+def _dealt(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, with the sides of large joins dealt over so many tasks that none sorts much more than TASK_ROWS rows.
+
+    The other side of a join is then dealt alike. Left to itself a sort gets as many rows as fit into a partition's bytes, some ten
+    millions of these narrow rows. Only joins whose both sides are large are merged; others keep their broadcast.
+    """
+    rows = {"lineitem": tables["lineitem"].count()}
+    if rows["lineitem"] <= OWN_CHOICE:
+        return tables
+    rows |= {t: tables[t].count() for t in TABLES if t != "lineitem"}
+    least = int(tables["lineitem"].sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Spark takes up no smaller number
+    out = dict(tables)
+    for name, (key, longer) in _DEALT.items():
+        if rows["orders" if name == "lineitem" else name] > OWN_CHOICE:
+            out[name] = tables[name].repartition(max(least, rows[longer] // TASK_ROWS + 1), key).hint("merge")
+    return out
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"WITH {_TEXT} SELECT * FROM ledger", **{t: table(spark, sf_dir, t) for t in TABLES})
+    return spark.sql(f"WITH {_TEXT} SELECT * FROM ledger", **_dealt({t: table(spark, sf_dir, t) for t in TABLES}))
 
 
 #: Small dimension tables, as VALUES that both engines read.
