@@ -74,7 +74,8 @@ class Vocabulary:
         letter in no piece."""
         after_letter = {p[k] for p in self.scores for k in range(1, len(p)) if p[k - 1].isalpha()}
         signs = "".join(re.escape(c) for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if c not in after_letter)
-        cut = rf"{MARK}*[^{MARK}\n{signs}]*[^\W\d_](?=[{signs}])|" if signs else ""
+        # The run before a sign ends there or nowhere, so nothing of it is given back.
+        cut = rf"{MARK}*+[^{MARK}\n{signs}]++(?=[{signs}])(?<=[^\W\d_])|" if signs else ""
         return re.compile(rf"\n|{cut}{MARK}*[^{MARK}\n]+|{MARK}+")
 
     @classmethod
@@ -104,13 +105,12 @@ class Lattice:
         self.edges: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         edges = self.edges
         for i in range(n):
-            here, j, next_ = alpha[i], i, root
-            for c in chunk[i : i + longest]:
+            here, next_ = alpha[i], root
+            for j, c in enumerate(chunk[i : i + longest], i + 1):
                 node = next_.get(c)
                 if node is None:  # no piece begins like this
                     break
                 s, next_ = node
-                j += 1
                 if s is not None:
                     edges[j].append((i, s))
                     if (s := here + s) > alpha[j]:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 
@@ -98,3 +99,14 @@ def test_operator_with_the_public_model(spark):
     back = {r["doc_id"]: r["text"] for r in nbest.decoded(nbest.encode(docs, "text", ["doc_id"]), "ids", ["doc_id"]).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert nbest.encode(docs.limit(0), "text", ["doc_id"]).count() == 0
+
+
+def test_chunks_are_cut_without_giving_back():
+    """The same chunks as by the pattern that tries every shorter run before a sign."""
+    v = nbest.Vocabulary({p: i for i, p in enumerate(("a", "b.", ".", "é", "▁"))}, dict.fromkeys(("a", "b.", ".", "é", "▁"), -1.0), [])
+    assert "++" in v.chunk.pattern
+    plain = re.compile(v.chunk.pattern.replace("*+", "*").replace("]++(?=", "]*[^\\W\\d_](?=").replace("(?<=[^\\W\\d_])", ""))
+    rng = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(rng.choice("ab9_é.,-(\n▁▁") for _ in range(rng.randrange(25)))
+        assert v.chunk.findall(text) == plain.findall(text), text
