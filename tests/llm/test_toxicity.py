@@ -82,3 +82,28 @@ def test_labelled_texts_are_read_twice(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in train], "doc_id long, toxic int")
     assert set(TOXIC) == set(toxicity.train(docs, labels).lexicon)
     assert 0 < read.value <= 4 * len(train)  # Spark may evaluate the function where it is used, so twice a reading
+
+
+def test_language_model_counts_all_words(spark, monkeypatch):
+    """Runs of letters counted by Spark are those of all words, however many there are."""
+    monkeypatch.setattr(toxicity, "VOCABULARY", 5, raising=False)
+    train = rows()
+    docs = spark.createDataFrame([r[:2] for r in train], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in train], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    counts = {}
+    for text in {text for i, text, _ in train if zlib.crc32(str(i).encode()) % 5}:
+        for w in set(text.split()):
+            counts[w] = counts.get(w, 0) + 1.0
+    mass = sum(counts.values())
+    want = toxicity.LanguageModel({w: counts.get(w, 0) + (w in model.lexicon) * mass / len(model.lexicon) for w in counts})
+    assert len(counts) > 5 and model.lm.letters == want.letters and model.lm.counts.keys() == want.counts.keys()
+    assert all(abs(model.lm.probability(h, c) - want.probability(h, c)) < 1e-9 for h, some in want.counts.items() for c in some)
+
+
+def test_rare_words_are_learned_if_not_by_chance(spark):
+    """A word in fewer than a hundredth of the toxic texts, and in no other."""
+    docs = spark.range(16_000).selectExpr("id AS doc_id", "CASE WHEN id % 800 = 0 THEN concat('a moron ', id) WHEN id % 4 = 0 THEN concat('a bigot ', id) ELSE concat('good story ', id) END AS text")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS INT) AS toxic"))
+    assert set(model.lexicon) == {"bigot", "moron"}
+    assert model.score("a moron") > 0.5 > model.score("a story")
